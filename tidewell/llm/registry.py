@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, mixing, runs, turns
+from tidewell.llm import bpe, mixing, runs, spam_pages, turns
 from tidewell.sources.tables import table
 
 
@@ -42,7 +42,15 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages.spam_pages(table(spark, folder, "documents"))
+
+
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages.page_labels(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
