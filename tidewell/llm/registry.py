@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, mixing, runs, spam_pages, turns
+from tidewell.llm import bpe, mixing, runs, spam_pages, truncation, turns
 from tidewell.sources.tables import table
 
 
@@ -14,6 +14,14 @@ def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return table(spark, folder, "transcript_segments"), table(spark, folder, "speakers")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_values(table(spark, folder, "bookmark"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_report(table(spark, folder, "bookmark"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.repeated_runs(*_transcripts(spark, folder))
 
@@ -50,7 +58,7 @@ def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages.page_labels(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
