@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, mixing, runs, spam_pages, truncation, turns
+from tidewell.llm import bpe, mixing, pii, runs, spam_pages, truncation, turns
 from tidewell.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_items(table(spark, folder, "bookmark"))
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redact_texts(table(spark, folder, "bookmark"))
+
+
 def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, folder, "transcript_segments"), table(spark, folder, "speakers")
 
@@ -58,7 +66,7 @@ def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages.page_labels(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
