@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, mixing, pii, runs, spam_pages, truncation, turns
+from tidewell.llm import bpe, languages, mixing, pii, runs, spam_pages, truncation, turns
 from tidewell.sources.tables import table
 
 
@@ -18,6 +18,22 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact_texts(table(spark, folder, "bookmark"))
 
 
+def _posts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "bookmark"), table(spark, folder, "lang_samples")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.unlabelled_languages(*_posts(spark, folder))
+
+
+def p4_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.document_languages(*_posts(spark, folder))
+
+
+def p4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.passages(*_posts(spark, folder))
+
+
 def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, folder, "transcript_segments"), table(spark, folder, "speakers")
 
@@ -66,7 +82,7 @@ def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages.page_labels(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_documents": p4_documents, "p4_passages": p4_passages, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
