@@ -88,7 +88,7 @@ def chunk_plan(spark, d):
     return intervals.chunk_plan(docs, "seconds", "n_chars", 4096).select("doc_id", "n_chunks", "chunk_no", "offset_s", "length_s")
 
 
-@query("""WITH p AS (SELECT DISTINCT source_id, round(start_s, 2) AS p FROM transcript_segments WHERE source_id IS NOT NULL)
+@query("""WITH p AS (SELECT DISTINCT source_id, CAST(round(CAST(start_s AS DECIMAL(18, 6)), 2) AS DOUBLE) AS p FROM transcript_segments WHERE source_id IS NOT NULL)
 SELECT source_id, count(*) FILTER (WHERE p BETWEEN 10 AND 60) AS kept, count(*) FILTER (WHERE NOT (p BETWEEN 10 AND 60)) AS dropped, min(p) FILTER (WHERE p BETWEEN 10 AND 60) AS first_kept, max(p) FILTER (WHERE p BETWEEN 10 AND 60) AS last_kept FROM p GROUP BY source_id""")
 def cue_window(spark, d):
     return intervals.in_window(table(spark, d, "transcript_segments").where("source_id is not null"), "source_id", "start_s", 10.0, 60.0)
@@ -100,7 +100,8 @@ _FOCUS = "CASE WHEN v <= 5 THEN greatest(8, CAST(ceil(v * 2) AS INT)) WHEN v <=
 
 @query(f"""WITH v AS (SELECT event_id, value AS v FROM events), t AS (SELECT event_id, v, least(80, {_LADDER}) AS a, least(80, {_FOCUS}) AS f FROM v),
 r AS (SELECT *, least(2.0, greatest(0.001, a / v)) AS fa, least(2.0, greatest(0.001, f / v)) AS ff FROM t)
-SELECT event_id, round(fa, 3) AS fps, CAST(greatest(1, least(80, ceil(fa * v))) AS INT) AS frames, round(ff, 3) AS focus_fps, CAST(greatest(1, least(80, ceil(ff * v))) AS INT) AS focus_frames FROM r""")
+SELECT event_id, CASE WHEN v > 0 THEN round(fa, 3) ELSE 1.0 END AS fps, CASE WHEN v > 0 THEN CAST(greatest(1, least(80, ceil(fa * v))) AS INT) ELSE 80 END AS frames,
+  CASE WHEN v > 0 THEN round(ff, 3) ELSE 1.0 END AS focus_fps, CASE WHEN v > 0 THEN CAST(greatest(1, least(80, ceil(ff * v))) AS INT) ELSE 12 END AS focus_frames FROM r""")
 def frame_plan_ladder(spark, d):
     e = table(spark, d, "events").select("event_id", intervals.frame_plan(F.col("value"), F.lit(80)).alias("a"), intervals.frame_plan(F.col("value"), F.lit(80), focused=True).alias("f"))
     return e.select("event_id", F.round("a.fps", 3).alias("fps"), F.col("a.frames").alias("frames"), F.round("f.fps", 3).alias("focus_fps"), F.col("f.frames").alias("focus_frames"))
