@@ -74,7 +74,7 @@ def _pieces(with_text: bool):
 def join_edges(rows: list) -> list[tuple]:
     """Edge turns of one transcript, in order of block and place, to final turns with the pieces they consist of."""
     out: list[list] = []
-    now, open_turn, at, label = 0, None, None, None
+    now, at, label, before = 0, None, None, None
     whole = lambda x: None if x is None or x != x else int(x)
     real = lambda x: None if x is None or x != x else float(x)
     for r in rows:
@@ -85,15 +85,16 @@ def join_edges(rows: list) -> list[tuple]:
             continue
         who = whole(r.speaker_no)
         who = now if who is None else who
-        if open_turn and r.seq == 0 and open_turn[2] == who:
-            open_turn[1] = int(r.last_pos)
-            (open_turn[3], open_turn[4]) = _bounds([(open_turn[3], open_turn[4]), (real(r.start_s), real(r.end_s))])
-            open_turn[5].append({"block": int(r.block), "seq": int(r.seq)})
+        # next to the row before: in one block, or from the end of a block to the start of the next
+        touching = before is not None and (before.seq + 1 == r.seq if before.block == r.block else r.seq == 0 and before.seq + 1 == before.n_seq)
+        if touching and out[-1][2] == who:
+            turn = out[-1]
+            turn[1] = int(r.last_pos)
+            turn[3], turn[4] = _bounds([(turn[3], turn[4]), (real(r.start_s), real(r.end_s))])
+            turn[5].append({"block": int(r.block), "seq": int(r.seq)})
         else:
-            open_turn = [int(r.first_pos), int(r.last_pos), who, real(r.start_s), real(r.end_s), [{"block": int(r.block), "seq": int(r.seq)}]]
-            out.append(open_turn)
-        if r.seq + 1 < r.n_seq:
-            open_turn = None  # the block goes on with turns that are final already
+            out.append([int(r.first_pos), int(r.last_pos), who, real(r.start_s), real(r.end_s), [{"block": int(r.block), "seq": int(r.seq)}]])
+        before = r
     return [tuple(x) for x in out]
 
 
@@ -115,7 +116,7 @@ def _join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _turn_parts(segments: DataFrame, speakers: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = cut(C.block_rows(segments, speakers).mapInPandas(_pieces(with_text), _PIECES), "turns")
-    edge = F.expr("seq = 0 or seq + 1 = n_seq")
+    edge = F.expr("seq <= 1 or seq + 1 = n_seq")  # a block's second turn may go on with the open one before it
     slim = parts.where(edge).drop("text").repartition("source_id").sortWithinPartitions("source_id", "block", "seq")
     joined = slim.mapInPandas(_join, _TURNS)
     return parts.where(~edge), joined, parts.where(edge & F.expr("n_seq > 0"))
