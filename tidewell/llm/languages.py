@@ -22,14 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewell.llm.byte_gru import STRIDE, ByteGRU, train
+from tidewell.llm.sample import hash_sample
 
 MAX_SAMPLES = 20_000
 MIN_WORDS, MIN_CHARS = 4, 7
 HIDDEN, STEPS, BATCH, LENGTH = 16, 320, 96, 40
-#: Labelled texts whose labels the first network agrees with train it further (at most so many, by hash order).
+#: Labelled texts whose labels the first network agrees with train it further (about so many, by hashed row number).
 MAX_LABELLED, MORE_STEPS = 8_000, 320
 #: Price of a switch of language between sentences and inside one, in log probability summed over steps.
 SWITCH, SWITCH_INSIDE = 14.0, 45.0
@@ -263,8 +263,8 @@ _trained: dict[int, LanguageModel] = {}
 def fit(samples: DataFrame, labelled: DataFrame | None = None) -> LanguageModel:
     """Trains the network on the labelled sample sentences; the same samples are trained on once per driver.
 
-    ``labelled`` rows (lang, text), some wrong, teach it more: of the ``MAX_LABELLED`` texts with the smallest hashes
-    those whose label the network confirms are added to the samples for a second round.
+    ``labelled`` rows (row_id, lang, text), some wrong, teach it more: of a sample of ``MAX_LABELLED`` by hashed row
+    number those whose label the network confirms are added to the samples for a second round.
     """
     rows = [(r["lang"], r["text"]) for r in samples.where("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").limit(MAX_SAMPLES).collect()]
     pairs = sorted((label_language(a), b) for a, b in rows if label_language(a) and readable(b)[0])
@@ -278,7 +278,7 @@ def fit(samples: DataFrame, labelled: DataFrame | None = None) -> LanguageModel:
     model = _trained[key]
     if labelled is None or not pairs:
         return model
-    more = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h", "text", "lang").limit(MAX_LABELLED).collect()
+    more = hash_sample(labelled.select("row_id", "lang", "text"), "row_id", MAX_LABELLED).where("lang is not null and text is not null").select("lang", "text").collect()
     texts = sorted({(label_language(r["lang"]), r["text"]) for r in more if label_language(r["lang"]) in languages})
     confirmed = list(pairs)
     for (lang, text), found in zip(texts, model.label([t for _, t in texts])):
