@@ -13,7 +13,7 @@ SPEAKERS = "source_id string, speaker_no int, full_name string, role_name string
 @pytest.mark.parametrize("text,number", [
     ("Yorick: hello there", 2), ("YORICK VELKRANE - hello there", 2), (">> Velkrane: hello there", 2), ("&gt;&gt; Yorick: hello there", 2), ("[Yorick] hello there", 2), ("(SPEAKER_01) hello there", 2),
     ("speaker_01: hello there", 2), ("<v Yorick Velkrane> hello there", 2), ("Yorick Velkrane (guest): hello there", 2), ("Y. Velkrane: hello there", 2), ("Guest - hello there", 2), ("- Yorick: hello there", 2),
-    ("Yoorick Velkrane: hello there", 2), ("[00:12] Host: hello there", 1), ("00:12 uh, Host: hello there", 1), ("Mira: hello there", None), ("Question: hello there", None), ("hello there", None),
+    ("Yoorick Velkrane: hello there", 2), ("[00:12] Host: hello there", 1), ("00:12 uh, Host: hello there", 1), ("YORICK - Note: hello there", 2), ("Mira: hello there", None), ("Question: hello there", None), ("hello there", None),
 ])
 def test_labels(text, number):
     cue = C.parse_cue(text, CAST)

@@ -45,7 +45,7 @@ _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _SPACE = re.compile(r"\s+")
 _REPEAT = re.compile(r"(.)\1+")
 _LEAD = re.compile(r"^[\s>\-–—•]*")
-_OPEN_LABEL = re.compile(r"^[\s>\-–—•]*((?:[^\W_][\w.'’\-]*)(?:\s+[\w.'’\-]+){0,3})\s*(?:\(([^()]{1,40})\)\s*)?(:|\s[\-–—](?=\s))\s*")
+_OPEN_LABEL = re.compile(r"^[\s>\-–—•]*((?:[^\W_][\w.'’\-]*)(?:\s+[^\W_][\w.'’\-]*){0,3})\s*(?:\(([^()]{1,40})\)\s*)?(:|\s[\-–—](?=\s))\s*")
 FUZZY = 0.8
 
 
