@@ -59,6 +59,13 @@ def test_structure(text, kind):
     assert truncation.inspect(text)[0] == kind
 
 
+def test_the_long_form_tells(spark):
+    long = "The old parser skips the index behind a proxy. A new feed drops the cursor in the end."
+    rows = [(1, long[:60] + "…", long, None, "a", None), (2, long[:46], long, None, "a", None), (3, "Other words", long, None, "a", None), (4, long, long, None, "a", None)]
+    got = {tuple(r) for r in truncation.cut_values(posts(spark, rows)).collect()}
+    assert (1, "text") in got and not {(2, "text"), (4, "text"), (1, "note_tweet")} & got
+
+
 def test_truncation_of_odd_tables(spark):
     odd = posts(spark, [(1, None, None, None, None, None), (2, "", "  ", None, None, None), (3, "x" * 200_000, None, None, "a", None), (3, "x" * 200_000, None, None, "a", None)])
     assert truncation.cut_values(odd).distinct().count() <= 1

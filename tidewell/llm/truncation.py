@@ -1,7 +1,7 @@
 """Texts that lost their end: structural completeness, tested against what ends look like in the corpus.
 
 1. Every value is read by a stack automaton over quotes, brackets and markup; what is open at the end, a broken
-   character or escape, a link or word that stops short, and a missing terminator are noted. A mark that a cutting
+   character or escape, a link or word that stops short, a long form that goes on, and a missing terminator are noted. A mark that a cutting
    source sets (dots, or dots and its own short link) is taken off first.
 2. The corpus says which word sequences end sentences: in one pass over all values each sequence of three words
    (with the number of commas before it in its sentence and whether the sentence is still short) is counted as
@@ -268,7 +268,7 @@ def code_key(piece: str) -> int:
 def link_keys(link: str) -> tuple[int, int]:
     """Structure of a link (parts of its path, code or word), and its last piece: a word, or the length of a code."""
     piece = re.split(r"[/\-_.?=&]", link.rstrip(".,)"))[-1]
-    coded = any(ch.isupper() or ch.isdigit() for ch in piece)
+    coded = any(ch.isupper() or ch.isdigit() for ch in piece) or "-" not in link.rsplit("/", 1)[-1]
     structure = zlib.crc32(f"S|{link.count('/')}|{coded}|{link.rsplit('/', 1)[-1].count('-')}".encode()) + (1 << 61)
     if coded:
         return structure, code_key(piece)
@@ -301,6 +301,13 @@ def _values(bookmarks: DataFrame) -> DataFrame:
     return bookmarks.select("row_id", source.alias("source"), F.col("text").alias("t"), F.col("note_tweet.text").alias("n"))
 
 
+def goes_on(text: str, longer: str) -> bool:
+    """The longer form of a text repeats it and goes on inside its last sentence: what the short form lost is known."""
+    mark = _CUT_MARK.search(text)
+    core = text[: mark.start()].rstrip() if mark and mark.start() else text.rstrip()
+    return bool(core) and len(longer.rstrip()) > len(core) and longer.startswith(core) and core.rstrip(_CLOSERS)[-1:] not in _ENDS
+
+
 def tail_keys(found: list[tuple[str, str, bool, str]]) -> np.ndarray:
     """(n, 3) keys of the ends that need the corpus; 0 where there is none."""
     keys = np.zeros((len(found), 3), dtype=np.int64)
@@ -332,6 +339,8 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if text and not text.isspace():
                     rows.append((row_id, source, name, len(text), zlib.crc32(text.encode("utf-8", "replace"))))
                     found.append(inspect(text))
+                    if name == _FIELDS[0] and texts[1] and found[-1][0] != CUT and goes_on(text, texts[1]):
+                        found[-1] = (CUT, "", found[-1][2], "goes on")
         keys = tail_keys(found)
         column = lambda values, i, t: pa.array([v[i] for v in values], t)
         yield pa.RecordBatch.from_arrays(
