@@ -1,9 +1,9 @@
 """Schema drift over files of JSON lines: profiles, changes from file to file, and one consistent table.
 
-1. Every partition reduces its lines to one profile row per (origin, file, path) while it parses them: which
-   types occur and a value sketch (one-permutation min-hash of the values and of their shapes). Sketch slots
-   are plain columns merged by ``min``, so profiles combine map-side and a hot origin or file shuffles only
-   its schema, never its lines.
+1. Every partition reduces its lines to one profile row per (origin, file, path) while it parses them (which
+   types occur, how often), and to one value sketch per path (one-permutation min-hash of the values and of their
+   shapes). Profiles and sketches are written once and merged by aggregates that combine map-side, so a hot origin
+   or file shuffles only its schema, never its lines.
 2. Files of an origin are ordered by the time in the file name on a slim (origin, file) table. Each profile is
    handed to its own file and to the file after it, and every pair of neighbours is compared in a task of its
    own, so an origin with a third of all files is spread as well.
@@ -28,17 +28,22 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import cut
+
 VALUE_SLOTS, SHAPE_SLOTS = 16, 8
 STRING, NUMBER, BOOLEAN, ARRAY, OBJECT = 1, 2, 4, 8, 16
 #: A pair of a lost and a new field counts as a rename from this score on.
 RENAME_SCORE = 0.45
 #: Profiles held by one task before they are handed on (memory bound, results do not depend on it).
 FLUSH_AT = 40_000
-_SLOTS = [f"v{i}" for i in range(VALUE_SLOTS)] + [f"h{i}" for i in range(SHAPE_SLOTS)]
-_PROFILE = "origin string, file_name string, json_path string, types int, n bigint, " + ", ".join(f"{s} bigint" for s in _SLOTS)
+#: Distinct paths whose sketches are shipped to every task (about 200 bytes each).
+MAX_SHIPPED_PATHS = 50_000
+SLOTS = VALUE_SLOTS + SHAPE_SLOTS
+_PARSED = "origin string, file_name string, json_path string, types int, n bigint, slots array<int>"
 
 
 # ---------------------------------------------------------------- profiles
@@ -99,59 +104,74 @@ def walk(record: dict, prefix: str = ""):
                 stack.append((path, value))
 
 
-def _profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[tuple, list] = {}
-
-    def flush() -> pd.DataFrame:
-        rows = [(*key, *cell) for key, cell in held.items()]
-        held.clear()
-        frame = pd.DataFrame(rows, columns=["origin", "file_name", "json_path", "types", "n", *_SLOTS])
-        return frame.astype({s: "Int64" for s in _SLOTS})
-
-    for frame in frames:
-        for origin, file_name, raw in zip(frame["origin"], frame["file_name"], frame["raw"]):
+def sketch_into(slots: list, value: object) -> None:
+    """Adds a value to a sketch: the least rank per slot, of values and of shapes; an object counts by the names of its fields."""
+    for text in value if isinstance(value, dict) else (value if isinstance(value, str) else repr(value),):
+        digest = zlib.crc32(text.encode("utf-8", "replace"))
+        at, rank = digest % VALUE_SLOTS, digest // VALUE_SLOTS
+        if slots[at] is None or rank < slots[at]:
+            slots[at] = rank
+    if not isinstance(value, dict):
+        digest = zlib.crc32(value_shape(value).encode("utf-8", "replace"))
+        at, rank = VALUE_SLOTS + digest % SHAPE_SLOTS, digest // SHAPE_SLOTS
+        if slots[at] is None or rank < slots[at]:
+            slots[at] = rank
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files: dict[tuple, list[int]] = {}
+    sketches: dict[str, list] = {}
+    names = [c.split()[0] for c in _PARSED.split(", ")]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+
+    def flush() -> pa.RecordBatch:
+        rows = [(*key, *cell, None) for key, cell in files.items()] + [(None, None, path, 0, 0, slots) for path, slots in sketches.items()]
+        files.clear()
+        sketches.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    for batch in batches:
+        for origin, file_name, raw in zip(*(c.to_pylist() for c in batch.columns)):
             record = parse_object(raw)
             if record is None:
                 continue
             for path, value in walk(record):
-                cell = held.get(key := (origin, file_name, path))
+                cell = files.get(key := (origin, file_name, path))
                 if cell is None:
-                    cell = held[key] = [0, 0] + [None] * len(_SLOTS)
+                    cell = files[key] = [0, 0]
                 cell[1] += 1
-                if value is None:
-                    continue
-                cell[0] |= type_bit(value)
-                if isinstance(value, dict):  # an object is sketched by the names of its fields
-                    for name in value:
-                        digest = zlib.crc32(name.encode("utf-8", "replace"))
-                        at, rank = 2 + digest % VALUE_SLOTS, digest // VALUE_SLOTS
-                        if cell[at] is None or rank < cell[at]:
-                            cell[at] = rank
-                    continue
-                digest = zlib.crc32((value if isinstance(value, str) else repr(value)).encode("utf-8", "replace"))
-                at, rank = 2 + digest % VALUE_SLOTS, digest // VALUE_SLOTS
-                if cell[at] is None or rank < cell[at]:
-                    cell[at] = rank
-                digest = zlib.crc32(value_shape(value).encode("utf-8", "replace"))
-                at, rank = 2 + VALUE_SLOTS + digest % SHAPE_SLOTS, digest // SHAPE_SLOTS
-                if cell[at] is None or rank < cell[at]:
-                    cell[at] = rank
-        if len(held) > FLUSH_AT:
+                if value is not None:
+                    cell[0] |= type_bit(value)
+                    slots = sketches.get(path)
+                    if slots is None:
+                        slots = sketches[path] = [None] * SLOTS
+                    sketch_into(slots, value)
+        if len(files) + len(sketches) > FLUSH_AT:
             yield flush()
-    if held:
+    if files or sketches:
         yield flush()
 
 
-def _merge(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.bit_or("types").alias("types"), F.sum("n").alias("n"), *[F.min(s).alias(s) for s in _SLOTS]
-    )
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Partial profiles (no slots) and partial sketches (slots, no file) of all tasks, written once."""
+    return cut(lines.select("origin", "file_name", "raw").mapInArrow(_parse, _PARSED), "profiles")
+
+
+def merge_profiles(parsed: DataFrame) -> DataFrame:
+    """One row per (origin, file_name, json_path) with types and count."""
+    return parsed.where("slots is null").groupBy("origin", "file_name", "json_path").agg(F.bit_or("types").alias("types"), F.sum("n").alias("n"))
+
+
+def merge_sketches(parsed: DataFrame) -> DataFrame:
+    """One row per json_path with the slots of the whole corpus."""
+    each = parsed.where("slots is not null").select("json_path", F.posexplode("slots").alias("at", "rank")).where("rank is not null")
+    least = each.groupBy("json_path", "at").agg(F.min("rank").alias("rank"))
+    full = least.groupBy("json_path").agg(F.map_from_entries(F.collect_list(F.struct("at", "rank"))).alias("m"))  # as many entries as slots
+    return full.select("json_path", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.try_element_at("m", i)).alias("slots"))
 
 
 def file_profiles(lines: DataFrame) -> DataFrame:
-    """One row per (origin, file_name, json_path) with types, count and sketch slots."""
-    slim = lines.select("origin", "file_name", "raw")
-    return _merge(slim.mapInPandas(_profiles, _PROFILE), "origin", "file_name", "json_path")
+    return merge_profiles(parse_lines(lines))
 
 
 # ---------------------------------------------------------------- comparison of two schemas
@@ -219,10 +239,10 @@ def best_assignment(score: list[list[float]]) -> list[tuple[int, int]]:
 
 
 class Field:
-    __slots__ = ("types", "slots", "corpus", "children")
+    __slots__ = ("types", "slots", "children")
 
-    def __init__(self, types: int, slots: list, corpus: list | None):
-        self.types, self.slots, self.corpus, self.children = types, slots, corpus or slots, set()
+    def __init__(self, types: int, slots: list | None):
+        self.types, self.slots, self.children = types, slots or [None] * SLOTS, set()
 
 
 def rename_score(old_name: str, old: Field, new_name: str, new: Field) -> float:
@@ -230,16 +250,19 @@ def rename_score(old_name: str, old: Field, new_name: str, new: Field) -> float:
     if old.types and new.types and not old.types & new.types:
         return 0.0
     names = name_similarity(old_name, new_name)
-    found = []
-    for a, b in ((old.slots, new.slots), (old.corpus, new.corpus)):
-        exact = sketch_similarity(a[:VALUE_SLOTS], b[:VALUE_SLOTS])
-        shape = sketch_similarity(a[VALUE_SLOTS:], b[VALUE_SLOTS:])
-        if exact is not None:
-            found.append(max(exact, 0.85 * shape) if shape is not None else exact)
-    if not found:
+    exact = sketch_similarity(old.slots[:VALUE_SLOTS], new.slots[:VALUE_SLOTS])
+    shape = sketch_similarity(old.slots[VALUE_SLOTS:], new.slots[VALUE_SLOTS:])
+    if exact is None:
         return 0.8 * names
+    if (old.types | new.types) & OBJECT:
+        # corpus-wide an object holds all names its fields ever had: how far the smaller set lies in the larger, and what the two files share
+        filled = [(x, y) for x, y in zip(old.slots[:VALUE_SLOTS], new.slots[:VALUE_SLOTS])]
+        least = min(sum(x is not None for x, _ in filled), sum(y is not None for _, y in filled))
+        inside = sum(x is not None and x == y for x, y in filled) / least
+        shared = len(old.children & new.children) / max(1, min(len(old.children), len(new.children)))
+        exact = max(exact, 0.9 * inside, shared)
     weight = 0.6 if (old.types | new.types) & OBJECT else 0.5
-    return (1 - weight) * names + weight * max(found)
+    return (1 - weight) * names + weight * (max(exact, 0.85 * shape) if shape is not None else exact)
 
 
 def schema_changes(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[str, str, str | None]]:
@@ -270,10 +293,9 @@ def schema_changes(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[s
     return out
 
 
-def as_fields(rows) -> dict[str, Field]:
-    """From rows with json_path, types, slots, corpus."""
-    whole = lambda slots: [None if x is None or x != x else int(x) for x in slots]  # noqa: E731  (Arrow gives nulls as NaN)
-    fields = {r["json_path"]: Field(int(r["types"]), whole(r["slots"]), whole(r["corpus"]) if r["corpus"] is not None else None) for r in rows}
+def as_fields(rows: list[dict], sketches: dict[str, list] | None) -> dict[str, Field]:
+    """From rows with json_path, types and, where no sketches are given, slots."""
+    fields = {r["json_path"]: Field(r["types"], r["slots"] if sketches is None else sketches.get(r["json_path"])) for r in rows}
     for path in fields:
         parent, _, name = path.rpartition(".")
         if parent in fields:
@@ -281,13 +303,20 @@ def as_fields(rows) -> dict[str, Field]:
     return fields
 
 
-def _diffs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for origin, file_name, fields in zip(frame["origin"], frame["file_name"], frame["fields"]):
-            old, new = as_fields([r for r in fields if not r["is_new"]]), as_fields([r for r in fields if r["is_new"]])
-            rows += [(origin, file_name, *c) for c in schema_changes(old, new)]
-        yield pd.DataFrame(rows, columns=["origin", "file_name", "change_kind", "json_path", "path_before"])
+_CHANGES = "origin string, file_name string, change_kind string, json_path string, path_before string"
+
+
+def _differ(shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches = None if shipped is None else shipped.value
+        for batch in batches:
+            rows = []
+            for origin, file_name, fields in zip(*(c.to_pylist() for c in batch.columns)):
+                old, new = as_fields([f for f in fields if not f["is_new"]], sketches), as_fields([f for f in fields if f["is_new"]], sketches)
+                rows += [(origin, file_name, *c) for c in schema_changes(old, new)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], [c.split()[0] for c in _CHANGES.split(", ")])
+
+    return run
 
 
 # ---------------------------------------------------------------- operators
@@ -305,16 +334,23 @@ def file_order(lines: DataFrame) -> DataFrame:
 
 def schema_drift(lines: DataFrame) -> DataFrame:
     """(origin, file_name, change_kind, json_path, path_before): every change against the file before."""
-    profiles = file_profiles(lines)
-    packed = profiles.select("origin", "file_name", "json_path", "types", F.array(*_SLOTS).alias("slots"))
-    whole = _merge(profiles, "json_path").select("json_path", F.array(*_SLOTS).alias("corpus"))
-    # schema-sized in practice: adaptive execution broadcasts it below the session's threshold and joins by shuffle above
-    described = packed.join(whole, "json_path", "left")
-    field = F.struct("json_path", "types", "slots", "corpus")
-    per_file = described.groupBy("origin", "file_name").agg(F.collect_list(field).alias("fields"))  # as many as fields in a file
+    return _drift(lines, parse_lines(lines))
+
+
+def _drift(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    spark = lines.sparkSession
+    profiles, sketches, shipped = merge_profiles(parsed), merge_sketches(parsed), None
+    known = sketches.limit(MAX_SHIPPED_PATHS + 1).collect()
+    if len(known) <= MAX_SHIPPED_PATHS:
+        shipped = spark.sparkContext.broadcast({r["json_path"]: r["slots"] for r in known})
+        packed = profiles.withColumn("slots", F.lit(None).cast("array<int>"))
+    else:
+        packed = profiles.join(sketches, "json_path", "left")
+    field = F.struct("json_path", "types", "slots")
+    per_file = packed.groupBy("origin", "file_name").agg(F.collect_list(field).alias("fields"))  # as many as fields in a file
     order = file_order(lines).alias("o")
     joined = order.join(per_file.alias("p"), F.col("o.origin").eqNullSafe(F.col("p.origin")) & (F.col("o.file_name") == F.col("p.file_name")), "left")
-    tagged = lambda new: F.transform(F.coalesce("p.fields", F.array().cast("array<struct<json_path:string,types:int,slots:array<bigint>,corpus:array<bigint>>>")), lambda x: x.withField("is_new", F.lit(new)))
+    tagged = lambda new: F.transform(F.coalesce("p.fields", F.array().cast("array<struct<json_path:string,types:int,slots:array<int>>>")), lambda x: x.withField("is_new", F.lit(new)))
     both = joined.select(
         F.col("o.origin").alias("origin"),
         F.explode(F.array(
@@ -323,9 +359,7 @@ def schema_drift(lines: DataFrame) -> DataFrame:
         )).alias("x"),
     ).select("origin", "x.*").where("file_name is not null")
     pairs = both.groupBy("origin", "file_name").agg(F.flatten(F.collect_list("fields")).alias("fields"), F.max("skip").alias("skip"))
-    return pairs.where("not skip").select("origin", "file_name", "fields").mapInPandas(
-        _diffs, "origin string, file_name string, change_kind string, json_path string, path_before string"
-    )
+    return pairs.where("not skip").select("origin", "file_name", "fields").mapInArrow(_differ(shipped), _CHANGES)
 
 
 #: Distinct renames the driver accepts when it builds the name classes (a schema, not data).
@@ -372,7 +406,8 @@ def unify_records(lines: DataFrame) -> DataFrame:
 
     Containers are not listed, only leaves and arrays (as JSON); equal rows stay equal rows.
     """
-    classes = rename_classes(schema_drift(lines), file_profiles(lines))
+    parsed = parse_lines(lines)
+    classes = rename_classes(_drift(lines, parsed), merge_profiles(parsed))
 
     def unify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, str] = {}
