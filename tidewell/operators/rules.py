@@ -50,3 +50,47 @@ def status_rollup(df: DataFrame, key: str, ok: Column, advisory: Column, size: C
         F.count("*").alias("n"), F.sum(size).alias("size_sum"), (F.coalesce(F.sum(size), F.lit(0)) < most).alias("within"),
         F.coalesce(F.bool_and(F.when(~advisory, ok)), F.lit(True)).alias("all_ok"),
     )
+
+
+#: Folders, names and suffixes that no package may hold.
+DENIED_FOLDERS = ("node_modules", "__pycache__", ".git", ".venv", "dist", "build")
+DENIED_NAMES = (".env", ".DS_Store", "credentials.json", "id_rsa")
+DENIED_SUFFIXES = (".pem", ".key", ".sqlite", ".log", ".zip", ".pyc")
+
+
+def denied(path: Column) -> Column:
+    """Which rule a path breaks: folder, name, suffix; null if none."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    name = F.element_at(parts, -1)
+    return (
+        F.when(F.arrays_overlap(folders, F.array(*[F.lit(x) for x in DENIED_FOLDERS])), "folder")
+        .when(name.isin(*DENIED_NAMES), "name")
+        .when(F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*DENIED_SUFFIXES), "suffix")
+    )
+
+
+def is_package_manifest(path: Column) -> Column:
+    return F.coalesce(path.rlike(r"^packages/[^/]+/plugin\.json\z"), F.lit(False))
+
+
+#: The fields of a manifest, and those it must have.
+MANIFEST_FIELDS = ("$schema", "name", "version", "description", "author", "homepage", "repository", "license", "keywords", "extensions")
+MANIFEST_REQUIRED = ("$schema", "name")
+
+
+def manifest_violations(df: DataFrame, path: str, raw: str) -> DataFrame:
+    """(path, rule) of manifests as JSON text: unreadable, fields missing or unknown, wrong types, repeated keywords."""
+    v, keys = F.try_parse_json(raw), F.json_object_keys(raw)
+    kind = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
+    words = F.try_variant_get(v, "$.keywords", "array<string>")
+    readable = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
+    broken = {"unreadable": ~readable, "unknown_field": readable & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in MANIFEST_FIELDS]))) > 0)}
+    broken |= {f"missing_{k.strip('$')}": readable & ~F.array_contains(keys, k) for k in MANIFEST_REQUIRED}
+    broken |= {"name_type": readable & (kind("$.name") != "STRING"), "author_type": readable & ~kind("$.author").startswith("OBJECT"), "keywords_repeat": readable & (F.size(F.array_distinct(words)) != F.size(words))}
+    return violations(df, F.col(path), {k: F.coalesce(b, F.lit(k == "unreadable")) for k, b in broken.items()})
+
+
+def all_failed(df: DataFrame, key: str, failed: Column) -> DataFrame:
+    """(key, n_failed, n_all, all_failed): one failed part is skipped, only all failed parts fail the whole."""
+    return df.groupBy(key).agg(F.count_if(failed).alias("n_failed"), F.count("*").alias("n_all"), F.bool_and(failed).alias("all_failed"))

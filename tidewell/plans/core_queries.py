@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions import clock, jsonx, text
+from tidewell.functions import clock, jsonx, lists, text
 from tidewell.operators import collections as C
-from tidewell.operators import folds, intervals, rules, sampling, snapshots
-from tidewell.sources import cues, eventlog
+from tidewell.operators import folds, intervals, lookups, rules, sampling, snapshots
+from tidewell.sources import cues, eventlog, pages
 from tidewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,3 +460,119 @@ def env_parse(spark, d):
 @query("""SELECT origin, file_name, line_no, v->>'$.type' AS event_type, v->>'$.payload.type' AS payload_type FROM (SELECT *, try_cast(raw AS JSON) AS v FROM rollout_lines WHERE starts_with(ltrim(raw, ' ' || chr(9)), '{') AND json_valid(raw))""")
 def event_log(spark, d):
     return eventlog.events(table(spark, d, "rollout_lines")).select("origin", "file_name", "line_no", "event_type", "payload_type")
+
+
+# ---------------------------------------------------------------- lookups, lists and plans
+
+
+@query("""WITH m AS (SELECT 'm' || p_partkey AS k, p_brand AS v FROM part WHERE p_partkey % 3 <> 0), i AS (SELECT event_id, list_transform(range(event_id % 4), lambda x: 'm' || (event_id * 7 + x * 13) % 500) AS a FROM events),
+e AS (SELECT event_id, unnest(a) AS k, unnest(range(len(a))) AS place FROM i), f AS (SELECT event_id, string_agg(v, ',' ORDER BY place) AS found FROM e JOIN m USING (k) GROUP BY event_id)
+SELECT event_id, coalesce(found, '') AS found FROM i LEFT JOIN f USING (event_id)""")
+def media_lookup(spark, d):
+    """An array of keys resolved in order; every third key has no target."""
+    media = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("k"), F.col("p_brand").alias("v"), F.col("p_partkey").alias("written"))
+    e = table(spark, d, "events").select("event_id")
+    keys = F.when(F.col("event_id") % 4 > 0, F.transform(F.sequence(F.lit(0), F.col("event_id") % 4 - 1), lambda x: F.concat(F.lit("m"), ((F.col("event_id") * 7 + x * 13) % 500).cast("string")))).otherwise(F.array().cast("array<string>"))
+    found = lookups.through_array(e.withColumn("a", keys), "event_id", "a", media, "k", "v", "written")
+    return found.select("event_id", F.array_join("found", ",").alias("found"))
+
+
+@query("""SELECT event_id, user_id * 5 AS ref, o_custkey AS owner, c_name AS owner_name FROM events LEFT JOIN orders ON o_orderkey = user_id * 5 LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey""")
+def reference_lookup(spark, d):
+    """A referenced row and its owner; either may be missing, the item stays."""
+    items = table(spark, d, "events").select("event_id", (F.col("user_id") * 5).alias("ref"))
+    owners = table(spark, d, "customer").where("c_custkey % 4 <> 0")
+    return lookups.through_reference(items, "ref", table(spark, d, "orders"), "o_orderkey", "o_custkey", owners, "c_custkey", "c_name").select("event_id", "ref", "owner", "owner_name")
+
+
+@query("""WITH p AS (SELECT user_id, epoch_us(ts) / 1e6 AS at_s, event_id FROM events WHERE event_type = 'error'), m AS (SELECT user_id, epoch_us(ts) / 1e6 AS at_s, event_id FROM events WHERE event_type = 'signup')
+SELECT p.user_id, p.at_s, (SELECT max_by(m.event_id, (m.at_s, m.event_id)) FROM m WHERE m.user_id = p.user_id AND m.at_s <= p.at_s) AS value FROM p""")
+def asof_latest_before(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_s"))
+    return lookups.latest_before(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), "user_id", "at_s", "event_id", 6 * 3600.0)
+
+
+@query("""WITH s AS (SELECT DISTINCT source_id, pos, text FROM transcript_segments WHERE source_id IS NOT NULL AND trim(text) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos, text) AS place, count(*) OVER (PARTITION BY source_id) AS n FROM s)
+SELECT source_id, pos, CAST(place AS INT) AS place, greatest(n - 12, 0) AS left_out FROM r WHERE place <= 12""")
+def segment_preview(spark, d):
+    """The report's preview: the first twelve segments and how many follow."""
+    s = table(spark, d, "transcript_segments").where("source_id is not null and trim(text) <> ''").select("source_id", "pos", "text").distinct()
+    return lookups.preview(s, "source_id", ["pos", "text"], 12).select("source_id", "pos", "place", "left_out")
+
+
+@query("""WITH t AS (SELECT event_id, event_id % 3000 AS a, event_id % 700 AS b FROM events), l AS (SELECT event_id, a, b, list_sort(list_distinct([CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(b AS DOUBLE), 75.0])) AS x FROM t)
+SELECT event_id, array_to_string(list_transform(x, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ' ') AS seconds, a + b AS logged FROM l""")
+def clock_lists(spark, d):
+    """Lists of clock texts to sorted distinct seconds, and all numbers of a log text."""
+    a, b = F.col("event_id") % 3000, F.col("event_id") % 700
+    listed = F.concat(clock.format_clock(a.cast("double")), F.lit(", "), b.cast("string"), F.lit(","), b.cast("string"), F.lit(", 1:15,bad"))
+    logged = F.concat(F.lit("n: 0 pts_time:"), a.cast("string"), F.lit(" x pts_time: "), b.cast("string"))
+    out = table(spark, d, "events").select("event_id", lists.clock_list(listed).alias("l"), lists.all_numbers_after(logged, "pts_time").alias("n"))
+    return out.select("event_id", F.array_join(F.transform("l", lambda v: v.cast("bigint").cast("string")), " ").alias("seconds"), F.aggregate("n", F.lit(0.0), lambda x, v: x + v).cast("bigint").alias("logged"))
+
+
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 100 END AS s, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 90 END AS l FROM events),
+r AS (SELECT event_id, s, l, coalesce(s, 0.0) AS low, coalesce(coalesce(s, 0.0) + l, 95.0) AS high FROM v)
+SELECT event_id, CAST(low AS DOUBLE) AS start_s, CAST(least(high, 95.0) AS DOUBLE) AS end_s, CASE WHEN l <= 0 THEN 'empty duration' WHEN high <= low THEN 'end before start' WHEN low >= 95 THEN 'start behind the end' END AS error,
+  CASE WHEN least(high, 95.0) > low THEN printf('%02d:%02d:%02d', 0, CAST(low AS BIGINT) // 60, CAST(low AS BIGINT) % 60) || '-' || printf('%02d:%02d:%02d', 0, CAST(least(high, 95.0) AS BIGINT) // 60, CAST(least(high, 95.0) AS BIGINT) % 60) END AS section FROM r""")
+def clip_ranges(spark, d):
+    n = F.col("event_id")
+    start, length = F.when(n % 4 != 0, (n % 100).cast("double")), F.when(n % 3 != 0, (n % 90).cast("double"))
+    r = lists.clip_range(start, F.lit(None).cast("double"), length, F.lit(95.0))
+    out = table(spark, d, "events").select("event_id", r.alias("r"))
+    return out.select("event_id", "r.start_s", "r.end_s", "r.error", lists.section(F.col("r.start_s"), F.col("r.end_s")).alias("section"))
+
+
+@query("""WITH f AS (SELECT source_id, unnest(['clip' || CASE WHEN caption_lang IS NULL THEN '' ELSE '.' || caption_lang END || '.srt', 'clip.fr.vtt', 'clip.vtt']) AS name FROM transcripts),
+r AS (SELECT source_id, name, row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN name LIKE '%.vtt' THEN 1 ELSE 2 END, CASE WHEN len(string_split(name, '.')) < 3 THEN 50 WHEN lower(string_split(name, '.')[-2]) = 'en' THEN 0 WHEN lower(string_split(name, '.')[-2]) LIKE 'en%' THEN 4 ELSE 100 END, name) AS n FROM f)
+SELECT source_id, name FROM r WHERE n = 1""")
+def sidecar_pick(spark, d):
+    names = F.array(F.concat(F.lit("clip"), F.coalesce(F.concat(F.lit("."), F.col("caption_lang")), F.lit("")), F.lit(".srt")), F.lit("clip.fr.vtt"), F.lit("clip.vtt"))
+    files = table(spark, d, "transcripts").select("source_id", F.explode(names).alias("name"))
+    return C.ranked_pick(files, "source_id", [lists.sidecar_rank(F.col("name"))]).select("source_id", "name")
+
+
+@query("""WITH t AS (SELECT source_id, map(['en', 'de'], ['a', 'b']) AS manual, map(['fr', 'en'], ['c', 'd']) AS auto, coalesce(caption_lang, 'xx') AS lang FROM transcripts)
+SELECT source_id, CASE WHEN lang IN ('en', 'de') THEN 'manual' WHEN lang IN ('fr', 'en') THEN 'auto' ELSE 'unknown' END AS kind, 'remaining=' || length(source_id) AS headers, CASE WHEN lang = 'de' THEN 'no title' ELSE lang || ' - broken' END AS summary FROM t""")
+def map_lookups(spark, d):
+    """Which map has the key, a subset of a header map, and a summary of an error."""
+    lang = F.coalesce("caption_lang", F.lit("xx"))
+    entry = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    headers = F.create_map(F.lit("remaining"), F.length("source_id").cast("string"), F.lit("limit"), F.lit(""), F.lit("cookie"), F.lit("x"))
+    kept = lists.key_subset(headers, ["limit", "remaining"])
+    title = F.when(lang != "de", lang)
+    return table(spark, d, "transcripts").select(
+        "source_id", lists.first_map_with(lang, {"manual": entry("en", "a", "de", "b"), "auto": entry("fr", "c", "en", "d")}).alias("kind"),
+        F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("headers"),
+        lists.problem_summary(title, F.lit(" "), F.when(title.isNotNull(), F.lit("broken")), F.lit("no title")).alias("summary"),
+    )
+
+
+@query("""SELECT id, '{' || array_to_string(list_filter(['"id":' || to_json(id), '"title":' || to_json(title), '"uploader":' || to_json(uploader), CASE WHEN duration IS NOT NULL THEN '"duration":' || to_json(duration) END, '"webpage_url":' || to_json(webpage_url)], lambda x: x IS NOT NULL), ',') || '}' AS info FROM media_info""")
+def media_compact(spark, d):
+    return pages.compact_info(table(spark, d, "media_info"))
+
+
+@query("""WITH p AS (SELECT origin || '/' || file_name || CASE line_no % 5 WHEN 0 THEN '/node_modules/x.js' WHEN 1 THEN '/.env' WHEN 2 THEN '/a.KEY' WHEN 3 THEN '/ok.txt' ELSE '' END AS path, line_no FROM rollout_lines)
+SELECT DISTINCT path, CASE WHEN path LIKE '%/node_modules/x.js' THEN 'folder' WHEN path LIKE '%/.env' THEN 'name' WHEN path LIKE '%/a.KEY' THEN 'suffix' END AS rule FROM p WHERE path NOT LIKE '%/ok.txt' AND path NOT LIKE '%.jsonl'""")
+def denied_files(spark, d):
+    n = F.col("line_no") % 5
+    path = F.concat("origin", F.lit("/"), "file_name", F.when(n == 0, "/node_modules/x.js").when(n == 1, "/.env").when(n == 2, "/a.KEY").when(n == 3, "/ok.txt").otherwise(""))
+    return table(spark, d, "rollout_lines").select(path.alias("path")).distinct().withColumn("rule", rules.denied(F.col("path"))).where("rule is not null")
+
+
+@query("""WITH m AS (SELECT p_partkey, p_partkey % 7 AS f FROM part), r AS (SELECT 'packages/p' || p_partkey || '/plugin.json' AS path, unnest(CASE f WHEN 0 THEN [] WHEN 1 THEN ['unreadable'] WHEN 2 THEN ['missing_schema'] WHEN 3 THEN ['unknown_field'] WHEN 4 THEN ['name_type'] WHEN 5 THEN ['keywords_repeat'] ELSE ['author_type', 'missing_name'] END) AS rule FROM m)
+SELECT path, rule FROM r""")
+def manifest_rules(spark, d):
+    f = F.col("p_partkey") % 7
+    raw = (
+        F.when(f == 0, '{"$schema": "s", "name": "a", "keywords": ["x", "y"]}').when(f == 1, '["no object"]').when(f == 2, '{"name": "a"}').when(f == 3, '{"$schema": "s", "name": "a", "extra": 1}')
+        .when(f == 4, '{"$schema": "s", "name": 5}').when(f == 5, '{"$schema": "s", "name": "a", "keywords": ["x", "x"]}').otherwise('{"$schema": "s", "author": "me"}')
+    )
+    m = table(spark, d, "part").select(F.concat(F.lit("packages/p"), F.col("p_partkey").cast("string"), F.lit("/plugin.json")).alias("path"), raw.alias("raw"))
+    return rules.manifest_violations(m.where(rules.is_package_manifest(F.col("path"))), "path", "raw")
+
+
+@query("SELECT source_id, count(*) FILTER (WHERE coalesce(trim(text), '') = '') AS n_failed, count(*) AS n_all, bool_and(coalesce(trim(text), '') = '') AS all_failed FROM transcript_segments GROUP BY source_id")
+def failed_parts(spark, d):
+    return rules.all_failed(table(spark, d, "transcript_segments"), "source_id", F.coalesce(F.trim("text"), F.lit("")) == "")
