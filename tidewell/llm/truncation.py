@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import cut
+
 #: Share of ends among the known continuations of a tail under which the tail is a cut.
 END_SHARE = 0.25
 #: Fewest sightings at which a sequence of three words decides; below, the last word alone does.
@@ -422,7 +424,7 @@ def verdict(kind, ends3, more3, ends2, more2, ends1, more1, at_cap):
 
 def judge_values(bookmarks: DataFrame) -> DataFrame:
     """(row_id, source, field_name, kind, reason, is_cut) of every value whose end is open in some way."""
-    tails = inspect_values(bookmarks)
+    tails = cut(inspect_values(bookmarks), "tails")  # read for the lengths and for the ends
     counts = end_counts(bookmarks)
     caps = cut_lengths(tails).withColumn("at_cap", F.lit(True))
     keyed = tails.where(F.col("kind") != WHOLE)
