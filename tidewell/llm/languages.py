@@ -28,11 +28,11 @@ from tidewell.llm.sample import hash_sample
 
 MAX_SAMPLES = 20_000
 MIN_WORDS, MIN_CHARS = 4, 7
-HIDDEN, STEPS, BATCH, LENGTH = 16, 320, 96, 40
+HIDDEN, STEPS, BATCH, LENGTH = 16, 180, 128, 40
 #: Labelled texts whose labels the first network agrees with train it further (about so many, by hashed row number).
-MAX_LABELLED, MORE_STEPS = 8_000, 320
+MAX_LABELLED, MORE_STEPS = 8_000, 200
 #: Price of a switch of language between sentences and inside one, in log probability summed over steps.
-SWITCH, SWITCH_INSIDE = 14.0, 45.0
+SWITCH, SWITCH_INSIDE = 22.0, 45.0
 #: Steps read in one go; longer texts are cut between words.
 PIECE = 320
 
