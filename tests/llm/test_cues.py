@@ -89,3 +89,19 @@ def test_blocks_change_nothing(spark, monkeypatch):
         results.append((t, r))
     assert results[0][0] == results[1][0] == results[2][0]
     assert results[0][1] == results[1][1] == results[2][1]
+
+
+def test_lone_sounds_stay_whatever_the_block(spark, monkeypatch):
+    """Every cue with words or sounds lies in exactly one collapsed run, also a sound that stands alone."""
+    texts = ["We go on now", "[music]", "They stop it here", "um", "(applause)", "(applause)", None, "♪ Music ♪", "Host: We go on now", "[laughter]", "Chunk 3 of 9 here", "[music]"]
+    expected = [(0, 0, "speech"), (1, 1, "sound"), (2, 2, "speech"), (4, 5, "sound"), (7, 7, "sound"), (8, 8, "speech"), (9, 9, "sound"), (10, 10, "speech"), (11, 11, "sound")]
+    rng = random.Random(6)
+    base = ["We go on now", "We goo on now", "They stop it here", "[music]", "(applause)", "um", "Chunk 3 of 9 here", None]
+    longer = [(rng.choice(["", "", "", "Host: ", "Guest: "]) + t if (t := rng.choice(base)) else None) for _ in range(400)]
+    results = []
+    for block in (4096, 7, 2):
+        monkeypatch.setattr(C, "BLOCK", block)
+        rows = runs.collapse_runs(segs(spark, texts), cast(spark)).orderBy("first_pos").collect()
+        assert [(r["first_pos"] // 2, r["last_pos"] // 2, r["kind"]) for r in rows] == expected
+        results.append(sorted(tuple(r) for r in runs.collapse_runs(segs(spark, longer), cast(spark)).collect()))
+    assert results[0] == results[1] == results[2]

@@ -179,7 +179,7 @@ def _blocks_to_runs(max_gap_s: float | None):
             near = {0, len(runs) - 1} | ({last_carried, last_carried + 1} if block else set())
             for i, r in enumerate(runs):
                 edge = i in near
-                if r.n > 1 or edge or r.kind == "speech":
+                if edge or r.kind != "none":
                     rows.append((source, block, i, len(runs), edge, None if who == _CARRY else who, r.kind, _pack(r.who), list(r.words) if edge else None, r.text, r.first, r.last, r.n, r.weight, r.start, r.end))
             if len(rows) > 5000:
                 yield pd.DataFrame(rows, columns=names).astype({"block_label": "Int32"})
