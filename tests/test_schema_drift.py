@@ -73,3 +73,17 @@ def test_unified_records(spark):
     got = {r["file_name"]: r["fields"] for r in S.unify_records(df).collect()}
     assert got[name(1)] == {"type": "a", "x.y": "1"} and got[name(2)] == {"type": "a", "x.y": "2", "l": "[1]"}
     assert S.unify_records(df).count() == 5
+
+
+def test_child_rename_below_a_renamed_container(spark):
+    """A rename below a container holds under every name of the container, at any depth and in any origin."""
+    window = lambda box, limits, used: {"body": {box: {limits: {used: 7, "minutes": 300}, "plan": "pro"}}}
+    df = lines(spark, {
+        ("o", name(1)): [window("rate_limits", "primary", "used_percent")] * 2, ("o", name(2)): [window("rateLimits", "primary", "used_percent")] * 5,
+        ("p", name(1)): [window("rate_limits", "primary", "used_percent")] * 2, ("p", name(2)): [window("rate_limits", "primary", "usedPercent")] * 2,
+        ("q", name(1)): [window("rate_limits", "primary", "usedPercent")] * 4, ("q", name(2)): [window("rate_limits", "primary_window", "usedPercent")] * 2,
+        ("r", name(1)): [window("rateLimits", "primary_window", "used_percent")], ("s", name(1)): [window("rateLimits", "primary", "usedPercent")] * 8,
+    })
+    assert drift(spark, {("o", name(1)): [window("rate_limits", "primary", "used_percent")], ("o", name(2)): [window("rateLimits", "primary", "used_percent")]}) == {(name(2), "renamed", "body.rateLimits")}
+    rows = S.unify_records(df).collect()
+    assert len(rows) == 26 and {tuple(sorted(r["fields"].items())) for r in rows} == {(("body.rateLimits.plan", "pro"), ("body.rateLimits.primary.minutes", "300"), ("body.rateLimits.primary.usedPercent", "7"))}

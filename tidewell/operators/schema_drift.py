@@ -367,11 +367,17 @@ MAX_RENAMES = 100_000
 
 
 def rename_classes(drift: DataFrame, profiles: DataFrame) -> dict[str, str]:
-    """path -> canonical path (the most frequent of its rename class); only paths that change are listed."""
-    counts = profiles.groupBy("json_path").agg(F.sum("n").alias("n"))
+    """path -> canonical path, for paths whose prefixes are canonical already; only paths that change are listed.
+
+    Both sides of a rename lie under one parent. The classes are built from the root down, on paths whose prefixes are
+    replaced by the first path of their class, so a rename seen under one name of a container holds under all of them.
+    The canonical name is the most frequent of the class, counted under all names of its containers.
+    """
     names = drift.where("change_kind = 'renamed'").select("json_path", "path_before").distinct().limit(MAX_RENAMES + 1).collect()
     if len(names) > MAX_RENAMES:
         raise ValueError(f"more than {MAX_RENAMES} distinct renames: these files have no common schema")
+    if not names:
+        return {}
     parent: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -380,27 +386,68 @@ def rename_classes(drift: DataFrame, profiles: DataFrame) -> dict[str, str]:
             x = parent[x]
         return x
 
+    first: dict[str, str] = {}
+    by_depth: dict[int, list[tuple[str, str]]] = {}
     for r in names:
-        parent[find(r["json_path"])] = find(r["path_before"])
-    involved = list(parent)
-    weight = {r["json_path"]: r["n"] for r in counts.where(F.col("json_path").isin(involved)).collect()} if involved else {}
+        by_depth.setdefault(r["json_path"].count("."), []).append((r["path_before"], r["json_path"]))
+    for depth in sorted(by_depth):
+        level = [tuple(under_prefix(p, first) for p in pair) for pair in by_depth[depth]]
+        for old, new in level:
+            parent[find(new)] = find(old)
+        heads: dict[str, str] = {}
+        members = sorted({p for pair in level for p in pair})
+        for path in members:
+            heads.setdefault(find(path), path)
+        first |= {p: heads[find(p)] for p in members if heads[find(p)] != p}
+    involved = set(parent)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys = [under_prefix(p, first) for p in frame["json_path"]]
+            yield pd.DataFrame({"json_path": keys, "n": frame["n"]})[[k in involved for k in keys]]
+
+    counts = profiles.groupBy("json_path").agg(F.sum("n").alias("n")).mapInPandas(count, "json_path string, n bigint").groupBy("json_path").agg(F.sum("n").alias("n"))
+    weight = {r["json_path"]: r["n"] for r in counts.collect()}
     best: dict[str, str] = {}
     for path in sorted(involved, key=lambda p: (-weight.get(p, 0), p)):
         best.setdefault(find(path), path)
-    return {p: best[find(p)] for p in involved if best[find(p)] != p}
+    # from class heads as prefixes to canonical prefixes
+    chosen = {p: best[find(p)] for p in involved}
+    canonical: dict[str, str] = {}
+
+    def settle(head: str) -> str:
+        """The canonical form of a path of class heads."""
+        done = at = ""
+        for name in head.split("."):
+            at = f"{at}.{name}" if at else name
+            name = chosen.get(at, at).rpartition(".")[2]
+            done = f"{done}.{name}" if done else name
+        return done
+
+    for path in involved:
+        prefix, _, name = path.rpartition(".")
+        prefix = f"{settle(prefix)}." if prefix else ""
+        to = chosen[path].rpartition(".")[2]
+        if to != name:
+            canonical[prefix + name] = prefix + to
+    return canonical
 
 
 def canonical_path(path: str, classes: dict[str, str]) -> str:
-    """Renames every prefix of a path, from the root down."""
+    """Renames every prefix of a path, and then the path, from the root down."""
     done = ""
     for name in path.split("."):
         done = f"{done}.{name}" if done else name
-        hops = 0
-        while done in classes and hops < 8:
-            done, hops = classes[done], hops + 1
+        done = classes.get(done, done)
     return done
 
 
+def under_prefix(path: str, classes: dict[str, str]) -> str:
+    """The path with its last name as it is, under its canonical prefix."""
+    prefix, _, name = path.rpartition(".")
+    return f"{canonical_path(prefix, classes)}.{name}" if prefix else name
+
+
 def unify_records(lines: DataFrame) -> DataFrame:
     """(origin, file_name, line_no, fields): each JSON object as canonical path -> value, values as text.
 
