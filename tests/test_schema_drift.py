@@ -87,3 +87,13 @@ def test_child_rename_below_a_renamed_container(spark):
     assert drift(spark, {("o", name(1)): [window("rate_limits", "primary", "used_percent")], ("o", name(2)): [window("rateLimits", "primary", "used_percent")]}) == {(name(2), "renamed", "body.rateLimits")}
     rows = S.unify_records(df).collect()
     assert len(rows) == 26 and {tuple(sorted(r["fields"].items())) for r in rows} == {(("body.rateLimits.plan", "pro"), ("body.rateLimits.primary.minutes", "300"), ("body.rateLimits.primary.usedPercent", "7"))}
+
+
+def test_fields_of_one_class_side_by_side_are_all_kept(spark):
+    df = lines(spark, {
+        ("o", name(1)): [{"used_by": "a", "n": 1}] * 4, ("o", name(2)): [{"usedBy": "a", "n": 1}] * 2,
+        ("p", name(3)): [{"used_by": "b", "usedBy": "c"}, {"usedBy": "c", "used_by": "b"}, {"used_by": "b", "usedBy": "b"}, {"usedBy": "c", "used_by": None}, {"usedBy": None, "used_by": "b"}],
+    })
+    fields = lambda day: [r["fields"] for r in S.unify_records(df).where(f"file_name = '{name(day)}'").orderBy("line_no").collect()]
+    assert fields(2) == [{"used_by": "a", "n": "1"}] * 2
+    assert fields(3) == [{"used_by": "b", "usedBy": "c"}, {"used_by": "b", "usedBy": "c"}, {"used_by": "b", "usedBy": "b"}, {"used_by": "c"}, {"used_by": "b"}]

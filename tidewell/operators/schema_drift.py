@@ -9,7 +9,8 @@
    own, so an origin with a third of all files is spread as well.
 3. Fields that go and fields that come under the same parent are matched one to one (Hungarian method on name
    similarity, value sketches of the file pair and of the path in the whole corpus, and child names).
-4. ``unify_records`` maps every path to the most frequent name of its rename class.
+4. ``unify_records`` maps every path to the most frequent name of its rename class; where that name is taken in
+   the same record, to its own.
 
 Defined results
 - lines that are no JSON object (null, blank, cut off, ``null``, arrays) carry no fields;
@@ -448,10 +449,29 @@ def under_prefix(path: str, classes: dict[str, str]) -> str:
     return f"{canonical_path(prefix, classes)}.{name}" if prefix else name
 
 
+def named_fields(leaves: list[tuple[str, str, str | None]]) -> dict[str, str | None]:
+    """Fields of one record from (canonical path, path, text); no value is dropped.
+
+    If fields of one class stand side by side, the one that bears the canonical name keeps it (else the first by path),
+    and the others stay under their own paths, which are no canonical path of any field.
+    """
+    fields: dict[str, str | None] = {to: text for to, _, text in leaves}
+    if len(fields) == len(leaves):
+        return fields
+    fields = {}
+    for to, path, text in sorted(leaves, key=lambda x: (x[0] != x[1], x[1])):
+        if fields.get(to) is None:
+            fields[to] = text
+        elif text is not None and fields.get(path) is None:
+            fields[path] = text
+    return fields
+
+
 def unify_records(lines: DataFrame) -> DataFrame:
     """(origin, file_name, line_no, fields): each JSON object as canonical path -> value, values as text.
 
-    Containers are not listed, only leaves and arrays (as JSON); equal rows stay equal rows.
+    Containers are not listed, only leaves and arrays (as JSON); equal rows stay equal rows. Fields of one class that
+    stand side by side in a record are all kept, see ``named_fields``.
     """
     parsed = parse_lines(lines)
     classes = rename_classes(_drift(lines, parsed), merge_profiles(parsed))
@@ -464,16 +484,14 @@ def unify_records(lines: DataFrame) -> DataFrame:
                 record = parse_object(raw)
                 if record is None:
                     continue
-                fields = {}
+                leaves = []
                 for path, value in walk(record):
                     if isinstance(value, dict):
                         continue
                     if path not in known:
                         known[path] = canonical_path(path, classes)
-                    text = None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-                    if fields.get(known[path]) is None:
-                        fields[known[path]] = text
-                rows.append((origin, file_name, line_no, fields))
+                    leaves.append((known[path], path, None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)))
+                rows.append((origin, file_name, line_no, named_fields(leaves)))
             yield pd.DataFrame(rows, columns=["origin", "file_name", "line_no", "fields"])
 
     return lines.select("origin", "file_name", "line_no", "raw").mapInPandas(
