@@ -105,3 +105,12 @@ def test_lone_sounds_stay_whatever_the_block(spark, monkeypatch):
         assert [(r["first_pos"] // 2, r["last_pos"] // 2, r["kind"]) for r in rows] == expected
         results.append(sorted(tuple(r) for r in runs.collapse_runs(segs(spark, longer), cast(spark)).collect()))
     assert results[0] == results[1] == results[2]
+
+
+@pytest.mark.parametrize("a,b,expected", [
+    ("exactly", "exactlly", 0.75), ("really nice", "realy nicce", 0.5), ("we really agree", "we realy aggree", 0.5),
+    ("they quickly moved onto another street", "they quikly movved onto anothr stret", 0.5),
+    ("exactly", "perhaps", 0.0), ("really nice", "quite good", 0.0), ("we really agree", "wee realy aggree", 0.0),
+])
+def test_slips_are_seen_where_few_words_are_equal(a, b, expected):
+    assert runs.similarity(tuple(a.split()), tuple(b.split())) == expected
