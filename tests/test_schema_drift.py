@@ -97,3 +97,10 @@ def test_fields_of_one_class_side_by_side_are_all_kept(spark):
     fields = lambda day: [r["fields"] for r in S.unify_records(df).where(f"file_name = '{name(day)}'").orderBy("line_no").collect()]
     assert fields(2) == [{"used_by": "a", "n": "1"}] * 2
     assert fields(3) == [{"used_by": "b", "usedBy": "c"}, {"used_by": "b", "usedBy": "c"}, {"used_by": "b", "usedBy": "b"}, {"used_by": "c"}, {"used_by": "b"}]
+
+
+def test_values_of_the_file_pair_count(spark):
+    """A rename is seen by the values of its two files, whatever else other origins put under the new name."""
+    files = {("o", name(1)): [{"type": f"a{i}-x", "n": 1} for i in range(3)], ("o", name(2)): [{"kind": f"a{i}-x", "n": 1} for i in range(3)]}
+    others = {("p", name(3)): [{"kind": f"{i * i} of b {i}" + "/" * (i % 7), "n": 1} for i in range(200)]}
+    assert drift(spark, files | others) == drift(spark, files) == {(name(2), "renamed", "kind")}

@@ -1,8 +1,8 @@
 """Schema drift over files of JSON lines: profiles, changes from file to file, and one consistent table.
 
 1. Every partition reduces its lines to one profile row per (origin, file, path) while it parses them (which
-   types occur, how often), and to one value sketch per path (one-permutation min-hash of the values and of their
-   shapes). Profiles and sketches are written once and merged by aggregates that combine map-side, so a hot origin
+   types occur, how often, and a value sketch: one-permutation min-hash of the values and of their shapes), and to
+   one sketch per path. Profiles and sketches are written once and merged by aggregates that combine map-side, so a hot origin
    or file shuffles only its schema, never its lines.
 2. Files of an origin are ordered by the time in the file name on a slim (origin, file) table. Each profile is
    handed to its own file and to the file after it, and every pair of neighbours is compared in a task of its
@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -44,7 +45,7 @@ FLUSH_AT = 40_000
 #: Distinct paths whose sketches are shipped to every task (about 200 bytes each).
 MAX_SHIPPED_PATHS = 50_000
 SLOTS = VALUE_SLOTS + SHAPE_SLOTS
-_PARSED = "origin string, file_name string, json_path string, types int, n bigint, slots array<int>"
+_PARSED = "origin string, file_name string, json_path string, types int, n bigint, slots array<int>, own binary"
 
 
 # ---------------------------------------------------------------- profiles
@@ -119,16 +120,43 @@ def sketch_into(slots: list, value: object) -> None:
             slots[at] = rank
 
 
+def least_slots(a: list, b: list) -> list:
+    return [y if x is None else x if y is None or x < y else y for x, y in zip(a, b)]
+
+
+_FILLED = struct.Struct("<Bi")
+
+
+def pack_sketch(slots: list) -> bytes:
+    """The filled slots only: most fields of a file have few values."""
+    return b"".join(_FILLED.pack(at, rank) for at, rank in enumerate(slots) if rank is not None)
+
+
+def unpack_sketches(parts: list[bytes]) -> list:
+    """One sketch from the partial ones of several tasks."""
+    slots: list = [None] * SLOTS
+    for part in parts:
+        for at, rank in _FILLED.iter_unpack(part):
+            if slots[at] is None or rank < slots[at]:
+                slots[at] = rank
+    return slots
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    files: dict[tuple, list[int]] = {}
-    sketches: dict[str, list] = {}
+    files: dict[tuple, list] = {}
     names = [c.split()[0] for c in _PARSED.split(", ")]
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
 
     def flush() -> pa.RecordBatch:
-        rows = [(*key, *cell, None) for key, cell in files.items()] + [(None, None, path, 0, 0, slots) for path, slots in sketches.items()]
+        sketches: dict[str, list] = {}
+        rows = []
+        for key, (kinds, n, own) in files.items():
+            rows.append((*key, kinds, n, None, pack_sketch(own)))
+            if kinds:
+                slots = sketches.get(key[2])
+                sketches[key[2]] = own if slots is None else least_slots(slots, own)
+        rows += [(None, None, path, 0, 0, slots, None) for path, slots in sketches.items()]
         files.clear()
-        sketches.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     for batch in batches:
@@ -139,22 +167,19 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, value in walk(record):
                 cell = files.get(key := (origin, file_name, path))
                 if cell is None:
-                    cell = files[key] = [0, 0]
+                    cell = files[key] = [0, 0, [None] * SLOTS]
                 cell[1] += 1
                 if value is not None:
                     cell[0] |= type_bit(value)
-                    slots = sketches.get(path)
-                    if slots is None:
-                        slots = sketches[path] = [None] * SLOTS
-                    sketch_into(slots, value)
-        if len(files) + len(sketches) > FLUSH_AT:
+                    sketch_into(cell[2], value)
+        if len(files) > FLUSH_AT:
             yield flush()
-    if files or sketches:
+    if files:
         yield flush()
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Partial profiles (no slots) and partial sketches (slots, no file) of all tasks, written once."""
+    """Partial profiles (own sketch, no slots) and partial sketches of paths (slots, no file) of all tasks, written once."""
     return cut(lines.select("origin", "file_name", "raw").mapInArrow(_parse, _PARSED), "profiles")
 
 
@@ -240,10 +265,10 @@ def best_assignment(score: list[list[float]]) -> list[tuple[int, int]]:
 
 
 class Field:
-    __slots__ = ("types", "slots", "children")
+    __slots__ = ("types", "slots", "parts", "children")
 
-    def __init__(self, types: int, slots: list | None):
-        self.types, self.slots, self.children = types, slots or [None] * SLOTS, set()
+    def __init__(self, types: int, slots: list | None, parts: list[bytes] | None = None):
+        self.types, self.slots, self.parts, self.children = types, slots or [None] * SLOTS, parts or [], set()
 
 
 def rename_score(old_name: str, old: Field, new_name: str, new: Field) -> float:
@@ -251,19 +276,26 @@ def rename_score(old_name: str, old: Field, new_name: str, new: Field) -> float:
     if old.types and new.types and not old.types & new.types:
         return 0.0
     names = name_similarity(old_name, new_name)
-    exact = sketch_similarity(old.slots[:VALUE_SLOTS], new.slots[:VALUE_SLOTS])
-    shape = sketch_similarity(old.slots[VALUE_SLOTS:], new.slots[VALUE_SLOTS:])
-    if exact is None:
+    is_object = (old.types | new.types) & OBJECT
+    values = []
+    # the values of the two files, and those of both names in the whole corpus
+    for a, b in ((unpack_sketches(old.parts), unpack_sketches(new.parts)), (old.slots, new.slots)):
+        exact = sketch_similarity(a[:VALUE_SLOTS], b[:VALUE_SLOTS])
+        shape = sketch_similarity(a[VALUE_SLOTS:], b[VALUE_SLOTS:])
+        if exact is None:
+            continue
+        if is_object:
+            # corpus-wide an object holds all names its fields ever had: how far the smaller set lies in the larger, and what the two files share
+            filled = list(zip(a[:VALUE_SLOTS], b[:VALUE_SLOTS]))
+            least = min(sum(x is not None for x, _ in filled), sum(y is not None for _, y in filled))
+            inside = sum(x is not None and x == y for x, y in filled) / least
+            shared = len(old.children & new.children) / max(1, min(len(old.children), len(new.children)))
+            exact = max(exact, 0.9 * inside, shared)
+        values.append(max(exact, 0.85 * shape) if shape is not None else exact)
+    if not values:
         return 0.8 * names
-    if (old.types | new.types) & OBJECT:
-        # corpus-wide an object holds all names its fields ever had: how far the smaller set lies in the larger, and what the two files share
-        filled = [(x, y) for x, y in zip(old.slots[:VALUE_SLOTS], new.slots[:VALUE_SLOTS])]
-        least = min(sum(x is not None for x, _ in filled), sum(y is not None for _, y in filled))
-        inside = sum(x is not None and x == y for x, y in filled) / least
-        shared = len(old.children & new.children) / max(1, min(len(old.children), len(new.children)))
-        exact = max(exact, 0.9 * inside, shared)
-    weight = 0.6 if (old.types | new.types) & OBJECT else 0.5
-    return (1 - weight) * names + weight * (max(exact, 0.85 * shape) if shape is not None else exact)
+    weight = 0.6 if is_object else 0.5
+    return (1 - weight) * names + weight * max(values)
 
 
 def schema_changes(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[str, str, str | None]]:
@@ -295,8 +327,8 @@ def schema_changes(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[s
 
 
 def as_fields(rows: list[dict], sketches: dict[str, list] | None) -> dict[str, Field]:
-    """From rows with json_path, types and, where no sketches are given, slots."""
-    fields = {r["json_path"]: Field(r["types"], r["slots"] if sketches is None else sketches.get(r["json_path"])) for r in rows}
+    """From rows with json_path, types, own and, where no sketches are given, slots."""
+    fields = {r["json_path"]: Field(r["types"], r["slots"] if sketches is None else sketches.get(r["json_path"]), r["own"]) for r in rows}
     for path in fields:
         parent, _, name = path.rpartition(".")
         if parent in fields:
@@ -340,18 +372,20 @@ def schema_drift(lines: DataFrame) -> DataFrame:
 
 def _drift(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     spark = lines.sparkSession
-    profiles, sketches, shipped = merge_profiles(parsed), merge_sketches(parsed), None
+    own = F.collect_list("own").alias("own")  # as many as tasks that read the file
+    profiles = parsed.where("slots is null").groupBy("origin", "file_name", "json_path").agg(F.bit_or("types").alias("types"), own)
+    sketches, shipped = merge_sketches(parsed), None
     known = sketches.limit(MAX_SHIPPED_PATHS + 1).collect()
     if len(known) <= MAX_SHIPPED_PATHS:
         shipped = spark.sparkContext.broadcast({r["json_path"]: r["slots"] for r in known})
         packed = profiles.withColumn("slots", F.lit(None).cast("array<int>"))
     else:
         packed = profiles.join(sketches, "json_path", "left")
-    field = F.struct("json_path", "types", "slots")
+    field = F.struct("json_path", "types", "slots", "own")
     per_file = packed.groupBy("origin", "file_name").agg(F.collect_list(field).alias("fields"))  # as many as fields in a file
     order = file_order(lines).alias("o")
     joined = order.join(per_file.alias("p"), F.col("o.origin").eqNullSafe(F.col("p.origin")) & (F.col("o.file_name") == F.col("p.file_name")), "left")
-    tagged = lambda new: F.transform(F.coalesce("p.fields", F.array().cast("array<struct<json_path:string,types:int,slots:array<int>>>")), lambda x: x.withField("is_new", F.lit(new)))
+    tagged = lambda new: F.transform(F.coalesce("p.fields", F.array().cast("array<struct<json_path:string,types:int,slots:array<int>,own:array<binary>>>")), lambda x: x.withField("is_new", F.lit(new)))
     both = joined.select(
         F.col("o.origin").alias("origin"),
         F.explode(F.array(
