@@ -79,8 +79,9 @@ def test_truncation_of_odd_tables(spark):
 NAMES = pii.Gazetteer({"mira", "yorick"}, {"molbeck", "velkrane"})
 
 
-def items(text):
-    return [(c.kind, c.text) for c in pii.settle([(1.0 if sum(c.votes.values()) > 0 else 0.0, c) for c in pii.candidates(text, NAMES)])]
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.fit_proposals(pii.propose(*pii.with_gazetteer(spark.read.parquet("/root/testdata/sf0.01/bookmark.parquet"))))
 
 
 @pytest.mark.parametrize("text,want", [
@@ -95,8 +96,22 @@ def items(text):
     ("Thanks to Dr. Mira Molbeck for it", [("name", "Mira Molbeck")]), ("photo: Velkrane, Yorick", [("name", "Velkrane, Yorick")]), ("ask yorick velkrane about it", [("name", "yorick velkrane")]), ("Signed, M. Molbeck.", [("name", "M. Molbeck")]),
     ("Room 12 Street View mode is odd. Post 150282765794725297 is it. Build 2026.10.5.1, 2,840,727 tokens, 2026-03-11 at 16:55, Commit c814d92, @mira_molbeck", []), ("", []), ("   ", []),
 ])
-def test_items(text, want):
-    assert items(text) == want
+def test_items(pii_model, text, want):
+    assert [(c.kind, c.text) for c in pii_model.items(text, NAMES)] == want
+
+
+def test_most_proposals_are_no_items(pii_model):
+    text = "Paperhawk Cloud 27 and Die Bereitschaft met Street View in Room 12. Build 2026.6.20.5 is out. See pages 120-555. Nimbus Desk 17 works."
+    found = pii.candidates(text, NAMES)
+    assert len(found) >= 6 and {c.family for c in found} >= {"name", "address", "number"} and not pii_model.items(text, NAMES)
+
+
+def test_a_large_gazetteer_is_joined(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/bookmark.parquet")
+    shipped = pii.propose(*pii.with_gazetteer(df)).selectExpr("row_id", "inline(c)").drop("f")
+    joined = pii.propose(*pii.with_gazetteer(df, most=1)).selectExpr("row_id", "inline(c)").drop("f")
+    assert pii.with_gazetteer(df, most=1)[1] is None and shipped.count() > 100
+    assert shipped.exceptAll(joined).count() == 0 and joined.exceptAll(shipped).count() == 0
 
 
 def test_pipeline_redacts_and_keeps_the_rest(spark):
@@ -108,25 +123,27 @@ def test_pipeline_redacts_and_keeps_the_rest(spark):
         rows.append((i, rng.choice([f"Thanks to {who} for the patient review.", f"Call 555-01{i % 90 + 10} if it drops.", "Nothing to see here. Post 150282765794725297 is it."]), None, None, "s", f"{rng.choice(firsts)} {rng.choice(lasts)}"))
     rows += [(900, None, None, None, None, None), (901, "", None, None, None, None), (902, "Thanks to Mira Molbeck for the patient review. Thanks to Mira Molbeck for the patient review.", None, None, None, "Brand Studio")]
     df = posts(spark, rows)
-    model = pii.fit(df)
-    assert {"mira", "greta"} <= model.firsts and "brand" not in model.firsts
-    got = pii.find_items(df, model).collect()
+    parts = {(r["role"], r["part"]) for r in pii.name_parts(df).collect()}
+    assert {("F", "mira"), ("F", "greta"), ("L", "molbeck")} <= parts and ("F", "brand") not in parts
+    got = pii.find_items(df).collect()
     want = sum(1 for r in rows if r[1] and ("Thanks" in r[1] or "Call" in r[1]))
     assert len(got) == want and len({tuple(r) for r in got}) == len(got)
-    texts = {r["row_id"]: r["text"] for r in pii.redact_texts(df, model).collect()}
+    texts = {r["row_id"]: r["text"] for r in pii.redact_texts(df).collect()}
     assert texts[902] == "Thanks to [NAME] for the patient review. Thanks to [NAME] for the patient review." and texts[900] is None and texts[901] == ""
     assert pii.find_items(df.limit(0)).count() == 0
 
 
 def test_em_recovers_reliabilities():
     rng = random.Random(1)
-    votes = []
+    patterns = {}
     for _ in range(4000):
         y = rng.random() < 0.5
-        votes.append(("phone", tuple(sorted((n, (1 if y == (rng.random() < acc) else -1)) for n, acc in (("good", 0.95), ("fair", 0.8), ("weak", 0.65))))))
-    table, _ = pii.fit_reliabilities(votes)
-    rate = lambda n: table[("phone", n)][1][0] / sum(table[("phone", n)][x][0] for x in (-1, 0, 1))
+        votes = ",".join(sorted(f"{n}={'email' if y == (rng.random() < acc) else 'none'}" for n, acc in (("good", 0.95), ("fair", 0.8), ("weak", 0.65))))
+        patterns["email", votes] = patterns.get(("email", votes), 0) + 1
+    table, belief = pii.fit_reliabilities(patterns)
+    rate = lambda n: table["email", n]["email"]["email"] / sum(table["email", n]["email"].values())
     assert rate("good") > 0.9 and 0.72 < rate("fair") < 0.88 and 0.55 < rate("weak") < 0.75
+    assert belief["email", "fair=none,good=email,weak=none"]["email"] > 0.5  # the reliable labeler outvotes the other two
 
 
 # ---------------------------------------------------------------- languages
