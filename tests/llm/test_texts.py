@@ -54,11 +54,28 @@ def test_cut_values_are_found_and_whole_ones_left(spark):
 @pytest.mark.parametrize("text,kind", [
     ("It ends here.", "whole"), ("It ends here.”", "whole"), ("ok 🎬", "whole"), ("", "whole"), ("   ", "whole"), ("It stops, ", "cut"), ("It (stops", "cut"), ("qua�", "cut"), ("see https:/", "cut"), ("see https://host.ex", "cut"),
     ("a &quo", "cut"), ("two words", "tail"), ("two words…", "tail"), ("see https://host.example/ab", "link"), ("so #tag", "tag"), ("終わりです。", "whole"), ("…", "whole"),
+    ("It is <b>bold and ends.", "cut"), ("It is <b>bold</b> and ends.", "whole"), ("Mail <mira [at] host.example> now.", "whole"), ("A <br> and <img src=x> end.", "whole"), ("Run ```x = 1.", "cut"), ("Run `x(` now.", "whole"), ("a **bold word", "cut"),
+    ("rock 'n roll", "tail"), ("He said (and (I) did).", "whole"), ("see caf%C3", "cut"), ("see caf%C3%", "cut"), ("see caf%C3%A9.", "whole"), ("It is 100%", "whole"), ("a \\u00", "cut"), ("so <a href", "cut"), ("I <3 it", "tail"),
+    ("x " + "(" * 5000 + ")" * 5000 + ".", "whole"), ("<" * 20_000 + " end.", "whole"),
 ])
 def test_structure(text, kind):
     assert truncation.inspect(text)[0] == kind
 
 
+def test_each_source_has_its_baseline(spark):
+    """Of a source that always leaves terminators out, an end must be less likely to count as cut than of one that cuts."""
+    rows = [("bare", "text", False, "tail", 0.9)] * 80 + [("bare", "text", False, "tail", 0.0)] * 2 + [("cutter", "text", False, "tail", 0.0)] * 60 + [("cutter", "text", False, "whole", 0.0)] * 40
+    known = spark.createDataFrame(rows, "source string, field_name string, marked boolean, kind string, share double")
+    got = {r["source"]: r for r in truncation.baselines(known, 0.2).collect()}
+    assert got["bare"]["missing"] == 1.0 and got["cutter"]["missing"] == 0.0 and got["cutter"]["cuts"] == 0.6
+    assert got["bare"]["least_share"] == truncation.LEAST_SHARE < got["cutter"]["least_share"] == truncation.MOST_SHARE
+
+
+@pytest.mark.parametrize("text,bare,marked", [("a b…", "a b", True), ("a b [...]", "a b", True), ("a b…  https://s.example/x1", "a b", True), ("a b https://s.example/x1", "a b https://s.example/x1", False), ("…", "…", False), ("a....", "a", True), ("a b]", "a b]", False)])
+def test_marks_are_taken_off(text, bare, marked):
+    assert truncation.without_mark(text) == (bare, marked)
+
+
 def test_the_long_form_tells(spark):
     long = "The old parser skips the index behind a proxy. A new feed drops the cursor in the end."
     rows = [(1, long[:60] + "…", long, None, "a", None), (2, long[:46], long, None, "a", None), (3, "Other words", long, None, "a", None), (4, long, long, None, "a", None)]

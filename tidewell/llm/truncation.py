@@ -1,14 +1,15 @@
-"""Texts that lost their end: structural completeness, tested against what ends look like in the corpus.
-
-1. Every value is read by a stack automaton over quotes, brackets and markup; what is open at the end, a broken
-   character or escape, a link or word that stops short, a long form that goes on, and a missing terminator are noted. A mark that a cutting
-   source sets (dots, or dots and its own short link) is taken off first.
-2. The corpus says which word sequences end sentences: in one pass over all values each sequence of three words
-   (with the number of commas before it in its sentence and whether the sentence is still short) is counted as
-   followed by an end or by more words. Counts are summed per partition before the shuffle.
-3. Tails of unterminated values are joined with these counts (a distributed join; nothing is collected), and with
-   the lengths at which their source cuts: lengths that unterminated values of a source have far more often than
-   their neighbours.
+"""Texts that lost their end: structural completeness by a stack automaton, and missing terminators against the source's baseline.
+
+1. Every value is read whole by a stack automaton over brackets, quotes, markup, emphasis and code marks. What is open at
+   the end, a broken character, entity, escape or tag, and a link or tag that stops short, are noted; a mark that a cutting
+   source sets (dots, or dots and its own short link) is taken off first. A value without a terminator is left open.
+2. The corpus says which word sequences end sentences: in the same pass each sequence of three words (with the number of
+   commas before it in its sentence and whether the sentence is still short) is counted as followed by an end or by more
+   words. Counts are summed per task before the shuffle.
+3. Each source and field has its baseline: how often its whole values lack a terminator, and how often it cuts. An open
+   end is a cut if, under the baseline of its source, its last words are likelier to have gone on than to have ended there
+   (a distributed join; nothing is collected), or if it stands at a length at which its source cuts. Where the long form of
+   a post repeats an open text and goes on, that settles it.
 
 Defined results: null and blank values are whole; repeated rows are judged alike; a whole text that lacks a full
 stop, or that its author ends with dots, a tag, a link or a symbol, is whole; an empty table gives an empty result.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidewell.session import cut
 
-#: Share of ends among the known continuations of a tail under which the tail is a cut.
-END_SHARE = 0.25
+#: Share of ends under which a tail is a cut: where the baselines start, and the limits of what they may become.
+END_SHARE, LEAST_SHARE, MOST_SHARE = 0.25, 0.1, 0.4
 #: Fewest sightings at which a sequence of three words decides; below, the last word alone does.
 SEEN = 2
 #: Keys a task holds before it hands its counts on (memory bound only).
@@ -37,17 +38,22 @@ FLUSH_AT = 400_000
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿々ー]|[^\W_぀-ヿ㐀-鿿々ー]+(?:['’.\-@_][^\W_぀-ヿ㐀-鿿々ー]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿々ー]")
 _DIGITS = re.compile(r"\d+")
-_CUT_MARK = re.compile(r"\s*(?:\[?(?:…|\.{3,})\]?)\s*(https?://\S+)?\s*$")
 _LINK_AT_END = re.compile(r"(?:https?://|www\.)\S*$|https?:?/?$", re.I)
-_TAIL_TOKEN = re.compile(r"\S+$")
 _ENDS = ".!?。！？"
 _CLOSERS = "\"'”’)]}»」』*_~`"
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
-_PAIRED = re.compile("[" + re.escape("".join(_OPEN) + "".join(_CLOSE) + '"') + "]")
+#: Elements that are never closed.
+_VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
+_MARKS = re.compile(r"```|`|\*\*|__|</?[A-Za-z][^<>]*>|(?<!\w)['*_](?=\w)|(?<=[\w.!?,])['*_](?!\w)|[" + re.escape("".join(_OPEN) + "".join(_CLOSE) + '"') + "]")
+_ELEMENT = re.compile(r"<(/?)([A-Za-z][\w:-]*)(?:\s+[\w:-]+\s*=[^<>]*?)?\s*(/?)>")
+#: Marks that authors leave open at will: they tell something only where a terminator is missing too.
+_SOFT = ("'", "*", "_", "__", "**", "`")
+_LOOSE = _SOFT[:3]  # also apostrophes and list signs: they never decide
 _ENTITY_CUT = re.compile(r"&(?:#x?[0-9a-fA-F]{0,6}|[a-zA-Z]{1,7})$")
-_ESCAPE_CUT = re.compile(r"\\u?[0-9a-fA-F]{0,3}$|%[0-9A-Fa-f]?$")
-_TAG_CUT = re.compile(r"<(?:/?[a-zA-Z][^<>]*)?$")
+_ESCAPE_CUT = re.compile(r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$")
+_PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})*(?:%[0-9A-Fa-f]?)?$")
+_TAG_CUT = re.compile(r"</?(?:[a-zA-Z][^<>]*)?$")
 
 BREAK = "\x01"
 #: What a gap between two tokens says: nothing, an end, more of the sentence, a comma.
@@ -166,7 +172,9 @@ def count_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(np.append(first, len(both)))
     both = both[first]
     is_end = (both & np.uint64(1)) > 0
-    return merge_counts(both >> np.uint64(1), np.where(is_end, sizes, 0), np.where(is_end, 0, sizes))
+    keys, ends, more = merge_counts(both >> np.uint64(1), np.where(is_end, sizes, 0), np.where(is_end, 0, sizes))
+    n_end = int(end.sum())
+    return np.append(keys, np.uint64(TOTALS)), np.append(ends, n_end), np.append(more, len(end) - n_end)
 
 
 def merge_counts(keys: np.ndarray, ends: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,26 +187,71 @@ def merge_counts(keys: np.ndarray, ends: np.ndarray, more: np.ndarray) -> tuple[
 
 
 def open_structures(text: str) -> list[str]:
-    """What a stack automaton leaves open at the end: brackets, paired quotes and markup."""
+    """What a stack automaton leaves open at the end: brackets, quotes, elements, emphasis and code."""
     stack: list[str] = []
-    straight = 0
-    for ch in _PAIRED.findall(text):
-        if ch in _OPEN:
-            stack.append(ch)
-        elif ch == '"':
-            straight += 1
-        elif stack and stack[-1] == _CLOSE[ch]:
-            stack.pop()
-        elif _CLOSE[ch] in stack:
-            while stack.pop() != _CLOSE[ch]:
+    for m in _MARKS.finditer(text):
+        mark = m.group()
+        if stack and stack[-1] in ("```", "`") and mark != stack[-1]:
+            continue  # inside code nothing else counts
+        if mark in _OPEN:
+            stack.append(mark)
+        elif mark in _CLOSE:
+            if _CLOSE[mark] in stack:
+                while stack.pop() != _CLOSE[mark]:
+                    pass
+        elif mark[0] == "<":
+            element = _ELEMENT.fullmatch(mark)
+            if element is None or element[3] or element[2].lower() in _VOID:
+                continue  # an address in angle brackets, or nothing to close
+            name = f"<{element[2].lower()}>"
+            if not element[1]:
+                stack.append(name)
+            elif name in stack:
+                while stack.pop() != name:
+                    pass
+        elif mark in stack:
+            while stack.pop() != mark:
                 pass
-    if straight % 2:
-        stack.append('"')
-    if text.count("```") % 2:
-        stack.append("```")
+        elif mark not in _LOOSE or m.end() < len(text) and text[m.end()].isalnum():
+            stack.append(mark)
     return stack
 
 
+def broken_escape(value: str) -> bool:
+    """The value stops inside an entity, a backslash escape, a percent escape or the bytes of one character, or a tag."""
+    if "&" in value[-9:] and _ENTITY_CUT.search(value[-9:]) or "\\" in value[-5:] and _ESCAPE_CUT.search(value[-5:]):
+        return True
+    if "%" in value[-3:]:
+        run = _PERCENTS.search(value.rsplit(None, 1)[-1]).group()
+        whole, rest = run[: len(run) // 3 * 3], run[len(run) // 3 * 3 :]
+        if rest and (whole or _LINK_AT_END.search(value.rsplit(None, 1)[-1])):
+            return True
+        if whole:
+            try:
+                bytes.fromhex(whole.replace("%", "")).decode("utf-8")
+            except UnicodeDecodeError as e:
+                return "unexpected end" in e.reason
+    at = value.rfind("<")
+    return at >= 0 and _TAG_CUT.match(value, at) is not None
+
+
+def without_mark(value: str) -> tuple[str, bool]:
+    """The value without dots a cutting source sets at its end, alone, in brackets, or before its own link; and whether there were any."""
+    body = value
+    at = max(body.rfind("http://"), body.rfind("https://"))
+    if at >= 0 and not any(c.isspace() for c in body[at:]):
+        body = body[:at].rstrip()
+    bare = body[:-1] if body.endswith(("…]", "..]")) else body
+    if bare.endswith("…"):
+        kept = bare[:-1]
+    elif bare.endswith("..."):
+        kept = bare.rstrip(".")
+    else:
+        return value, False
+    kept = (kept[:-1] if bare is not body and kept.endswith("[") else kept).rstrip()
+    return (kept, True) if kept else (value, False)
+
+
 #: What is noted about a value: kind of its end.
 WHOLE, CUT, TAIL, LINK, TAG = "whole", "cut", "tail", "link", "tag"
 _LAST_SENTENCE = re.compile(r"(?:[.!?…。！？]['\"”’)\]]*\s|[。！？\n|/])(?=[^.!?…。！？\n|/]*$)")
@@ -210,38 +263,26 @@ def inspect(text: str) -> tuple[str, str, bool, str]:
     value = text.rstrip()
     if not value:
         return WHOLE, "", False, "blank"
+    value, marked = without_mark(value)
     end = value[-1]
-    if end == "�":
-        return CUT, "", False, "character"
-    marked = False
-    if end == "…" or value.endswith(("...", "]")) or "…" in value[-60:] or "..." in value[-60:]:
-        mark = _CUT_MARK.search(value[-400:])
-        if mark and mark.start() + max(0, len(value) - 400) > 0:
-            marked = True
-            value = value[: mark.start() + max(0, len(value) - 400)].rstrip()
-            if not value:
-                return WHOLE, "", True, "blank"
-            end = value[-1]
-            if end == "�":
-                return CUT, "", True, "character"
-    ending = value[-400:]
-    if "&" in ending[-9:] and _ENTITY_CUT.search(ending) or "\\" in ending[-6:] and _ESCAPE_CUT.search(ending) or "<" in ending and _TAG_CUT.search(ending):
+    if end == "�" or "\ud800" <= end <= "\udfff":
+        return CUT, "", marked, "character"
+    if broken_escape(value):
         return CUT, "", marked, "escape"
     last = value.rsplit(None, 1)[-1]
     link = _LINK_AT_END.search(last)
     if link:
         piece = link.group()
         return (LINK, piece, marked, "link") if _WHOLE_LINK.match(piece) else (CUT, "", marked, "link")
-    if last[0] in "#@" and len(last) <= 60:
+    if last[0] in "#@":
         return (TAG, last, marked, "tag") if len(last) > 1 else (CUT, "", marked, "tag")
     bare = value.rstrip(_CLOSERS)
     opened = open_structures(value)
-    inside = any(o in "([{" for o in opened)
+    hard = [o for o in opened if o not in _SOFT]
+    opened = [o for o in opened if o not in _LOOSE]
     if bare and bare[-1] in _ENDS:
-        if end in _ENDS and opened and opened[0] in _QUOTES:
-            return CUT, "", marked, "quote"
-        if inside:
-            return CUT, "", marked, "bracket"
+        if hard and (hard[0] not in _QUOTES or end in _ENDS):
+            return CUT, "", marked, "quote" if hard[0] in _QUOTES else "bracket" if hard[0] in _OPEN else "markup"
         body = bare[:-1]
         word = body.rsplit(None, 1)[-1] if body.split() else ""
         if not (word and word[-1].isdigit() and "." in word):
@@ -249,8 +290,8 @@ def inspect(text: str) -> tuple[str, str, bool, str]:
         value = body
     elif end in ",;、，(“«「[{-–—/:":
         return CUT, "", marked, "open"
-    elif inside or any(o in _QUOTES for o in opened):
-        return CUT, "", marked, "bracket"
+    elif opened:
+        return CUT, "", marked, "quote" if opened[0] in _QUOTES else "bracket" if opened[0] in _OPEN else "markup"
     elif not (end.isalnum() or end in _CLOSERS):
         return WHOLE, "", marked, "symbol"
     value = value.rstrip(_CLOSERS) or value
@@ -294,8 +335,12 @@ def count_pieces(text: str, counts: dict[int, int]) -> None:
 
 # ---------------------------------------------------------------- distributed
 
-_TAILS = "row_id bigint, source string, field_name string, kind string, marked boolean, reason string, n_chars int, digest bigint, key3 bigint, key2 bigint, key1 bigint"
+_TAILS = "row_id bigint, source string, field_name string, kind string, marked boolean, reason string, n_chars int, digest bigint, key3 bigint, key2 bigint, key1 bigint, goes_on boolean, ends bigint, more bigint"
+_TYPES = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+_NAMES = [f.split()[0] for f in _TAILS.split(", ")]
 _FIELDS = ("text", "note_tweet")
+#: Key under which all ends and continuations of the corpus are summed.
+TOTALS = 0
 
 
 def _values(bookmarks: DataFrame) -> DataFrame:
@@ -305,8 +350,7 @@ def _values(bookmarks: DataFrame) -> DataFrame:
 
 def goes_on(text: str, longer: str) -> bool:
     """The longer form of a text repeats it and goes on inside its last sentence: what the short form lost is known."""
-    mark = _CUT_MARK.search(text)
-    core = text[: mark.start()].rstrip() if mark and mark.start() else text.rstrip()
+    core, _ = without_mark(text.rstrip())
     return bool(core) and len(longer.rstrip()) > len(core) and longer.startswith(core) and core.rstrip(_CLOSERS)[-1:] not in _ENDS
 
 
@@ -319,7 +363,7 @@ def tail_keys(found: list[tuple[str, str, bool, str]]) -> np.ndarray:
         for i, at in zip(tails, last):
             if at >= 0:  # shapes speak only for names and numbers
                 tail = found[i][1].rstrip(_CLOSERS + " ")
-                word = _TOKEN.findall(tail[-80:])[-1:] or [""]
+                word = _TOKEN.findall(tail.rsplit(None, 1)[-1])[-1:] or [""]
                 named = len(word[0]) > 1 and not word[0][0].islower() and not _CJK.match(word[0])
                 keys[i] = (int(k3[at]), int(k2[at]) if named else 0, int(k1[at]))
     with np.errstate(over="ignore"):
@@ -333,44 +377,43 @@ def tail_keys(found: list[tuple[str, str, bool, str]]) -> np.ndarray:
     return keys
 
 
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, found = [], []
-        for row_id, source, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-            for name, text in zip(_FIELDS, texts):
-                if text and not text.isspace():
-                    rows.append((row_id, source, name, len(text), zlib.crc32(text.encode("utf-8", "replace"))))
-                    found.append(inspect(text))
-                    if name == _FIELDS[0] and texts[1] and found[-1][0] != CUT and goes_on(text, texts[1]):
-                        found[-1] = (CUT, "", found[-1][2], "goes on")
-        keys = tail_keys(found)
-        column = lambda values, i, t: pa.array([v[i] for v in values], t)
-        yield pa.RecordBatch.from_arrays(
-            [column(rows, 0, pa.int64()), column(rows, 1, pa.string()), column(rows, 2, pa.string()), column(found, 0, pa.string()), column(found, 2, pa.bool_()), column(found, 3, pa.string()),
-             column(rows, 3, pa.int32()), column(rows, 4, pa.int64()), *(pa.array(keys[:, i]) for i in range(3))],
-            [f.split()[0] for f in _TAILS.split(", ")],
-        )
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over all values, two kinds of rows: what each value's end is, and (without row_id) counts by key."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     pieces: dict[int, int] = {}
 
+    def rows_of(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, t)) for name, t in zip(_NAMES, _TYPES)], _NAMES)
+
     def flush() -> pa.RecordBatch:
         if pieces:
             held.append((np.fromiter(pieces.keys(), np.uint64), np.fromiter(pieces.values(), np.int64), np.zeros(len(pieces), np.int64)))
         keys, ends, more = merge_counts(*(np.concatenate(c) for c in zip(*held)))
         held.clear()
         pieces.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ends), pa.array(more)], ["key", "ends", "more"])
+        return rows_of(len(keys), key1=pa.array(keys.astype(np.int64)), ends=pa.array(ends), more=pa.array(more))
 
     for batch in batches:
-        texts = [t for column in batch.columns[2:] for t in column.to_pylist() if t]
-        with np.errstate(over="ignore"):
-            for text in texts:
+        rows, found, texts_read = [], [], []
+        for row_id, source, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, text in zip(_FIELDS, texts):
+                if not text or text.isspace():
+                    continue
+                texts_read.append(text)
+                seen = inspect(text)
+                more = name == _FIELDS[0] and seen[0] in (TAIL, LINK, TAG) and bool(texts[1]) and goes_on(text, texts[1])
+                rows.append((row_id, source, name, len(text), zlib.crc32(text.encode("utf-8", "replace")), more))
+                found.append(seen)
                 if "/" in text or "#" in text or "@" in text:
-                    count_pieces(text, pieces)
-        held.append(count_keys(texts))
+                    with np.errstate(over="ignore"):
+                        count_pieces(text, pieces)
+        keys = tail_keys(found)
+        column = lambda values, i, t: pa.array([v[i] for v in values], t)
+        yield rows_of(
+            len(rows), row_id=column(rows, 0, pa.int64()), source=column(rows, 1, pa.string()), field_name=column(rows, 2, pa.string()), kind=column(found, 0, pa.string()), marked=column(found, 2, pa.bool_()),
+            reason=column(found, 3, pa.string()), n_chars=column(rows, 3, pa.int32()), digest=column(rows, 4, pa.int64()), key3=pa.array(keys[:, 0]), key2=pa.array(keys[:, 1]), key1=pa.array(keys[:, 2]), goes_on=column(rows, 5, pa.bool_()),
+        )
+        held.append(count_keys(texts_read))
         if sum(len(h[0]) for h in held) > 2 * FLUSH_AT:
             held[:] = [merge_counts(*(np.concatenate(c) for c in zip(*held)))]
             if len(held[0][0]) > FLUSH_AT:
@@ -379,18 +422,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def inspect_values(bookmarks: DataFrame) -> DataFrame:
-    return _values(bookmarks).mapInArrow(_tails, _TAILS)
-
+def inspect_values(bookmarks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ends of all values, and (key, ends, more): how often an end and how often more follows in the corpus."""
+    read = cut(_values(bookmarks).mapInArrow(_read, _TAILS), "ends")  # written once, read for the ends, lengths, baselines and counts
+    counts = read.where("ends is not null").groupBy(F.col("key1").alias("key")).agg(F.sum("ends").alias("ends"), F.sum("more").alias("more"))
+    return read.where("ends is null").drop("ends", "more"), counts
 
-def end_counts(bookmarks: DataFrame) -> DataFrame:
-    """key -> how often an end and how often more follows it in the corpus."""
-    return _values(bookmarks).mapInArrow(_counts, "key bigint, ends bigint, more bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("more").alias("more"))
 
-
-#: A length at which at least this many open values of a source and field end, and this share of all its values of
-#: that length and this many times as many as the median of the lengths around it, is one at which the source cuts.
-CAP_COUNT, CAP_RATIO, CAP_WINDOW = 8, 6.0, 12
+#: A length is one at which a source cuts if its open values there are this many times as many as around it, by this
+#: many standard deviations of their number, and more than half of all its values of that length.
+CAP_RATIO, CAP_SIGMAS, CAP_WINDOW = 4.0, 4.0, 12
 
 
 def cut_lengths(tails: DataFrame) -> DataFrame:
@@ -403,40 +444,73 @@ def cut_lengths(tails: DataFrame) -> DataFrame:
     around = Window.partitionBy("source", "field_name", "marked").orderBy("n_chars").rangeBetween(-CAP_WINDOW, CAP_WINDOW)
     level = (F.sum("open").over(around) - F.col("open")) / (2 * CAP_WINDOW)
     return per.withColumn("level", level).where(
-        (F.col("open") >= CAP_COUNT) & (F.col("open") >= CAP_RATIO * F.col("level")) & (F.col("open") > 0.5 * F.col("n"))
+        (F.col("open") >= CAP_RATIO * F.col("level")) & (F.col("open") - F.col("level") >= CAP_SIGMAS * F.sqrt(F.col("level") + 1)) & (F.col("open") > 0.5 * F.col("n"))
     ).select("source", "field_name", "marked", "n_chars")
 
 
-def verdict(kind, ends3, more3, ends2, more2, ends1, more1, at_cap):
-    """Works on Columns: whether an end is a cut, from what the corpus knows of it.
+def end_share(ends3, more3, ends2, more2, ends1, more1) -> Column:
+    """Share of ends after the last words of a tail.
 
     Three words decide where they were seen ``SEEN`` times; then the shapes of the last two words after the word
     before them, if the last word itself is known; then the last word alone.
     """
     seen3, seen2, seen1 = ends3 + more3, ends2 + more2, ends1 + more1
     alone = ends1 / (seen1 + 6)
-    share = F.when(seen3 >= SEEN, ends3 / seen3).when((seen2 >= 5) & (seen1 >= 8), F.greatest(ends2 / seen2, alone)).otherwise(alone)
-    tail_cut = at_cap | (share < END_SHARE)
-    return (
-        F.when(kind == CUT, True).when(kind == TAIL, tail_cut).when(kind == LINK, (seen3 == 0) | ((seen1 == 0) & (seen2 == 0))).when(kind == TAG, seen1 == 0).otherwise(False)
+    return F.when(seen3 >= SEEN, ends3 / seen3).when((seen2 >= 5) & (seen1 >= 8), F.greatest(ends2 / seen2, alone)).otherwise(alone)
+
+
+_SALTS = 16
+
+
+def baselines(known: DataFrame, ratio: float) -> DataFrame:
+    """(source, field_name, marked, missing, cuts, least_share): how often whole values of a source lack a terminator, how
+    often it cuts, and the share of ends under which an open end of it is a cut.
+
+    A cut falls behind any words that go on, a missing terminator behind any that end: of an end with share s, the odds of
+    a cut are cuts / missing x (1 - s) / s x ends / continuations of the corpus (``ratio``).
+    """
+    cut_now = (F.col("kind") == CUT) | (F.col("kind") == TAIL) & (F.col("share") < END_SHARE)
+    bare = (F.col("kind") == TAIL) & ~cut_now
+    per = known.groupBy("source", "field_name", "marked").agg(F.count("*").alias("n"), F.count_if(cut_now).alias("n_cut"), F.count_if(bare).alias("n_bare"))
+    odds = (F.col("n_cut") + 0.5) / (F.col("n_bare") + 0.5) * F.lit(ratio)
+    return per.select(
+        "source", "field_name", "marked", (F.col("n_bare") / F.greatest(F.col("n") - F.col("n_cut"), F.lit(1))).alias("missing"), (F.col("n_cut") / F.col("n")).alias("cuts"),
+        F.greatest(F.lit(LEAST_SHARE), F.least(F.lit(MOST_SHARE), odds / (1 + odds))).alias("least_share"),
     )
 
 
 def judge_values(bookmarks: DataFrame) -> DataFrame:
-    """(row_id, source, field_name, kind, reason, is_cut) of every value whose end is open in some way."""
-    tails = cut(inspect_values(bookmarks), "tails")  # read for the lengths and for the ends
-    counts = end_counts(bookmarks)
-    caps = cut_lengths(tails).withColumn("at_cap", F.lit(True))
-    keyed = tails.where(F.col("kind") != WHOLE)
+    """(row_id, source, field_name, kind, reason, is_cut, rule) of all values; ``rule`` says what settled a cut."""
+    tails, counts = inspect_values(bookmarks)
+    totals = counts.where(F.col("key") == TOTALS).first()
+    ratio = totals["ends"] / max(1, totals["more"]) if totals else 1.0
     # one exchange brings an end's three keys to the counts, one more brings what was found back to the end
-    asked = keyed.where(F.col("kind") != CUT).select("row_id", "field_name", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"key{i}").alias("key")) for i in (3, 2, 1)])).alias("k"))
-    answered = asked.select("row_id", "field_name", "k.level", "k.key").join(counts, "key")
+    asked = tails.where(F.col("kind").isin(TAIL, LINK, TAG)).select("row_id", "field_name", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"key{i}").alias("key")) for i in (3, 2, 1)])).alias("k"))
+    asked = asked.where("k.key <> 0").select("row_id", "field_name", "k.level", "k.key")
+    answered = asked.join(counts.where(F.col("key") != TOTALS), "key")
     only = lambda name, i: F.sum(F.when(F.col("level") == i, F.col(name))).alias(f"{name}{i}")
     known = answered.groupBy("row_id", "field_name").agg(*[only(n, i) for i in (3, 2, 1) for n in ("ends", "more")])
-    joined = keyed.join(known, ["row_id", "field_name"], "left").join(caps, ["source", "field_name", "marked", "n_chars"], "left")
-    number = [F.coalesce(F.col(f"{n}{i}"), F.lit(0)) for i in (3, 2, 1) for n in ("ends", "more")]
-    return joined.select("row_id", "source", "field_name", "kind", "reason", "marked", "n_chars", *[c.alias(x) for c, x in zip(number, ("ends3", "more3", "ends2", "more2", "ends1", "more1"))], F.coalesce("at_cap", F.lit(False)).alias("at_cap"),
-                         verdict(F.col("kind"), *number, F.coalesce("at_cap", F.lit(False))).alias("is_cut"))
+    joined = tails.join(known, ["row_id", "field_name"], "left")
+    six = [f"{n}{i}" for i in (3, 2, 1) for n in ("ends", "more")]
+    number = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in six]
+    named = joined.select("row_id", "source", "field_name", "kind", "reason", "marked", "n_chars", "goes_on", *number).withColumn("share", end_share(*map(F.col, six)))
+    named = cut(named, "shares")  # read for the baselines and for the decision
+    # few rows per source, salted: a source may hold a third of all values
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(_SALTS)).cast("int"))
+    caps = spread(cut_lengths(tails).withColumn("at_cap", F.lit(True)))
+    base = spread(baselines(named, ratio).select("source", "field_name", "marked", "least_share"))
+    both = salted.join(base, ["source", "field_name", "marked", "salt"]).join(caps, ["source", "field_name", "marked", "n_chars", "salt"], "left")
+    seen1, seen2, seen3 = (F.col(f"ends{i}") + F.col(f"more{i}") for i in (1, 2, 3))
+    kind, open_end = F.col("kind"), F.col("kind").isin(TAIL, LINK, TAG)
+    rule = (
+        F.when((kind == CUT) & F.col("reason").isin("bracket", "quote", "markup"), "stack")
+        .when((kind == CUT) & F.col("reason").isin("character", "escape", "link", "tag"), "piece").when(kind == CUT, "open")
+        .when((kind == TAIL) & (F.col("share") < F.col("least_share")), "baseline").when((kind == TAIL) & F.coalesce("at_cap", F.lit(False)), "length")
+        .when((kind == LINK) & ((seen3 == 0) | ((seen1 == 0) & (seen2 == 0))), "piece").when((kind == TAG) & (seen1 == 0), "piece")
+        .when(open_end & F.col("goes_on"), "long form")
+    )
+    return both.withColumn("rule", rule).select("row_id", "source", "field_name", "kind", "reason", F.col("rule").isNotNull().alias("is_cut"), "rule")
 
 
 def cut_values(bookmarks: DataFrame) -> DataFrame:
@@ -444,10 +518,7 @@ def cut_values(bookmarks: DataFrame) -> DataFrame:
 
 
 def cut_report(bookmarks: DataFrame) -> DataFrame:
-    """(source, field_name, n_values, n_cut, cut_share): how often each source cuts each field."""
-    values = _values(bookmarks).select("source", F.explode(F.array(F.struct(F.lit(_FIELDS[0]).alias("field_name"), F.col("t").alias("v")), F.struct(F.lit(_FIELDS[1]).alias("field_name"), F.col("n").alias("v")))).alias("x"))
-    totals = values.where("trim(x.v) <> ''").groupBy("source", "x.field_name").agg(F.count("*").alias("n_values"))
-    cut = judge_values(bookmarks).where("is_cut").groupBy("source", "field_name").agg(F.count("*").alias("n_cut"))
-    return totals.join(cut, ["source", "field_name"], "left").select(
-        "source", "field_name", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_values"), 6).alias("cut_share")
-    )
+    """(source, field_name, n_values, n_cut, cut_share, by_stack, by_piece, by_open, by_baseline, by_length, by_long_form): how often each source cuts each field, and what settled it."""
+    by = [F.count_if(F.col("rule") == r).alias(f"by_{r.replace(' ', '_')}") for r in ("stack", "piece", "open", "baseline", "length", "long form")]
+    per = judge_values(bookmarks).groupBy("source", "field_name").agg(F.count("*").alias("n_values"), F.count_if("is_cut").alias("n_cut"), *by)
+    return per.withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_values"), 6)).select("source", "field_name", "n_values", "n_cut", "cut_share", *[c for c in per.columns if c.startswith("by_")])
