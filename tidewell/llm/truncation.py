@@ -429,22 +429,25 @@ def inspect_values(bookmarks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return read.where("ends is null").drop("ends", "more"), counts
 
 
-#: A length is one at which a source cuts if its open values there are this many times as many as around it, by this
-#: many standard deviations of their number, and more than half of all its values of that length.
-CAP_RATIO, CAP_SIGMAS, CAP_WINDOW = 4.0, 4.0, 12
+#: A length is one at which a source cuts if its open values there are this many times the median around it, by this
+#: many standard deviations of their number, and more than half of all its values of that length. There an end that
+#: looks whole is a cut if such ends are twice as many as around it, by ``BARE_SIGMAS``: most of them are surplus then.
+CAP_RATIO, CAP_SIGMAS, CAP_WINDOW, BARE_RATIO, BARE_SIGMAS = 4.0, 4.0, 12, 2.0, 3.0
 
 
-def cut_lengths(tails: DataFrame) -> DataFrame:
+def cut_lengths(known: DataFrame) -> DataFrame:
     """(source, field_name, marked, n_chars): lengths at which a source cuts; one row per source and length before it.
 
     Every text counts once, so a post delivered often does not look like a limit.
     """
-    texts = tails.groupBy("source", "field_name", "marked", "n_chars", "digest").agg(F.max(F.col("kind").isin(TAIL, CUT).cast("int")).alias("open"))
-    per = texts.groupBy("source", "field_name", "marked", "n_chars").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
+    bare = (F.col("kind") == TAIL) & (F.col("share") >= END_SHARE)
+    texts = known.groupBy("source", "field_name", "marked", "n_chars", "digest").agg(F.max(F.col("kind").isin(TAIL, CUT).cast("int")).alias("open"), F.max(bare.cast("int")).alias("bare"))
+    per = texts.groupBy("source", "field_name", "marked", "n_chars").agg(F.count("*").alias("n"), F.sum("open").alias("open"), F.sum("bare").alias("bare"))
     around = Window.partitionBy("source", "field_name", "marked").orderBy("n_chars").rangeBetween(-CAP_WINDOW, CAP_WINDOW)
-    level = (F.sum("open").over(around) - F.col("open")) / (2 * CAP_WINDOW)
-    return per.withColumn("level", level).where(
-        (F.col("open") >= CAP_RATIO * F.col("level")) & (F.col("open") - F.col("level") >= CAP_SIGMAS * F.sqrt(F.col("level") + 1)) & (F.col("open") > 0.5 * F.col("n"))
+    level = lambda name: F.percentile_approx(name, F.lit(0.5)).over(around)  # noqa: E731  a limit and the length before it do not hide each other
+    above = lambda name, at, ratio, sigmas: (F.col(name) >= ratio * F.col(at)) & (F.col(name) - F.col(at) >= sigmas * F.sqrt(F.col(at) + 1))
+    return per.withColumn("level", level("open")).withColumn("bare_level", level("bare")).where(
+        above("open", "level", CAP_RATIO, CAP_SIGMAS) & above("bare", "bare_level", BARE_RATIO, BARE_SIGMAS) & (F.col("open") > 0.5 * F.col("n"))
     ).select("source", "field_name", "marked", "n_chars")
 
 
@@ -493,12 +496,12 @@ def judge_values(bookmarks: DataFrame) -> DataFrame:
     joined = tails.join(known, ["row_id", "field_name"], "left")
     six = [f"{n}{i}" for i in (3, 2, 1) for n in ("ends", "more")]
     number = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in six]
-    named = joined.select("row_id", "source", "field_name", "kind", "reason", "marked", "n_chars", "goes_on", *number).withColumn("share", end_share(*map(F.col, six)))
+    named = joined.select("row_id", "source", "field_name", "kind", "reason", "marked", "n_chars", "digest", "goes_on", *number).withColumn("share", end_share(*map(F.col, six)))
     named = cut(named, "shares")  # read for the baselines and for the decision
     # few rows per source, salted: a source may hold a third of all values
     spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = named.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(_SALTS)).cast("int"))
-    caps = spread(cut_lengths(tails).withColumn("at_cap", F.lit(True)))
+    caps = spread(cut_lengths(named).withColumn("at_cap", F.lit(True)))
     base = spread(baselines(named, ratio).select("source", "field_name", "marked", "least_share"))
     both = salted.join(base, ["source", "field_name", "marked", "salt"]).join(caps, ["source", "field_name", "marked", "n_chars", "salt"], "left")
     seen1, seen2, seen3 = (F.col(f"ends{i}") + F.col(f"more{i}") for i in (1, 2, 3))
