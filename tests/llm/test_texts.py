@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -218,6 +219,37 @@ def test_label_names(label, lang):
 
 # ---------------------------------------------------------------- spam pages
 
+@pytest.fixture(scope="module")
+def page_model(spark):
+    return spam_pages.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_baum_welch_recovers_a_chain():
+    rng = np.random.default_rng(5)
+    start, move, emit = spam_pages._first_guess()
+    move = 0.5 * move + 0.5 * np.roll(np.eye(len(start)), 1, axis=1)  # another chain than the first guess
+    emit[5] = np.array([[0.9, 0.05, 0.05]] * len(start))
+    draw = lambda p: int(rng.choice(len(p), p=p / p.sum()))
+    sequences = []
+    for _ in range(400):
+        s, seen = draw(start), []
+        for _ in range(30):
+            seen.append(tuple(draw(e[s]) for e in emit))
+            s = draw(move[s])
+        sequences.append(seen)
+    fitted = spam_pages.baum_welch(sequences, prior=20.0)
+    assert np.abs(fitted.move - move).max() < 0.12 and np.abs(fitted.emit[5] - emit[5]).max() < 0.12 and np.allclose(fitted.move.sum(axis=1), 1)
+
+
+def test_the_short_cut_is_the_best_path(page_model):
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        seen = [tuple(int(rng.integers(e.shape[1])) if rng.random() < 0.3 else [0, 2, 1, 0, 0, 0, 0, 0][f] for f, e in enumerate(page_model.emit)) for _ in range(5)]
+        states = range(len(spam_pages.HIDDEN))
+        best = max(((page_model.log_start[p[0]] + sum(page_model.own(x)[0][s] for x, s in zip(seen, p)) + sum(page_model.into[b][a] for a, b in zip(p, p[1:]))), p) for p in itertools.product(states, repeat=5))
+        assert page_model.path(seen) == [spam_pages.LABEL[s] for s in best[1]]
+
+
 PROSE = "The old parser skips the index behind a proxy. A new feed keeps half of the frames, because the cache is warm. Their log drops the cursor for every release. "
 
 
@@ -229,8 +261,8 @@ PROSE = "The old parser skips the index behind a proxy. A new feed keeps half of
     ("Looking for caption tool free? Our caption tool is the free caption tool for caption tool users. Get caption tool, try caption tool, love caption tool! " * 8, True),
     ("\n".join(f"Best Clip maker - ${i}.99 - SKU AB{i}CD - free, best, buy" for i in range(20)), True), (None, False), ("", False), ("   \n ", False), ("x" * 100_000, False),
 ])
-def test_pages(text, spam):
-    assert (1 - spam_pages.state_shares(text)[0] > spam_pages.MIN_SHARE) == spam
+def test_pages(page_model, text, spam):
+    assert (1 - page_model.shares(text)[0] > spam_pages.MIN_SHARE) == spam
 
 
 def test_pages_of_odd_tables(spark):
