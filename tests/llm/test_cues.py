@@ -114,3 +114,43 @@ def test_lone_sounds_stay_whatever_the_block(spark, monkeypatch):
 ])
 def test_slips_are_seen_where_few_words_are_equal(a, b, expected):
     assert runs.similarity(tuple(a.split()), tuple(b.split())) == expected
+
+
+@pytest.mark.parametrize("gap", [None, 1.5])
+def test_near_duplicates_of_one_sentence_over_block_edges(spark, monkeypatch, gap):
+    """Trimmed forms of one sentence, where what merges first decides what is left: the same runs whatever the block."""
+    words = "The old parser skips every second index behind the proxy".split()
+    rng = random.Random(9)
+    texts, lost = [], 0
+    for _ in range(500):
+        kept = list(words)
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            kept.pop(rng.randrange(len(kept)))
+        texts.append(rng.choice(["", "", "", "", "Host: ", "Guest: "]) + " ".join(kept) if rng.random() < 0.85 else rng.choice(["Something else here", "um", "[music]", None]))
+        lost += texts[-1] in ("um", None)
+    rows = segs(spark, texts)
+    if gap:
+        rows = rows.withColumn("start_s", rows.start_s * 1.5 + rows.pos % 7 * 0.3)
+    results = []
+    for block in (4096, 7, 2):
+        monkeypatch.setattr(C, "BLOCK", block)
+        results.append(sorted(tuple(r) for r in runs.collapse_runs(rows, cast(spark), gap).collect()))
+    assert results[0] == results[1] == results[2]
+    assert sum(r[4] for r in results[0]) == len(texts) - lost and len(results[0]) < 0.75 * len(texts)
+
+
+def test_the_order_of_merging_over_an_edge(spark, monkeypatch):
+    w = "a bb ccc dddd eeeee ffffff ggggggg hhhhhhhh iiiiiiiii jjjjjjjjjj".split()
+    texts = [" ".join(w), " ".join(w[:8]), " ".join(w[:6]), " ".join(w[:6])]
+    seen = []
+    for block in (4096, 2):
+        monkeypatch.setattr(C, "BLOCK", block)
+        seen.append(found_runs(spark, texts))
+    assert seen[0] == seen[1] == [(0, 1), (2, 3)]
+
+
+def test_a_slip_in_a_label_and_labels_of_many_words(spark):
+    many = C.Cast([(1, "Maria del Carmen Ruiz de la Torre", "host", "SPEAKER_1"), (2, "Bo Li", "guest", "SPEAKER_11")])
+    for text, number in [("Maria del Carmen Ruiz de la Torre: hello", 1), ("Torre, Maria: hello", 1), ("SPEAKER_1: hello", 1), ("SPEAKER_11: hello", 2), ("Maria del Carmen Ruiz de la Torrre - hello", 1), ("Yes. Li: hello", 2)]:
+        assert [n for n, _ in C.parse_cue(text, many).spans][-1] == number, text
+    assert C.parse_cue("[cast note] (very long " + "word " * 5000 + ") hello", many).kind == "speech"

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +53,23 @@ def block_turns(cues: list[tuple]) -> tuple[list[list], int | None]:
     return turns, now
 
 
+_PIECE_NAMES, _PIECE_TYPES = [c.split()[0] for c in _PIECES.split(", ")], (pa.string(), pa.int64(), *[pa.int32()] * 6, pa.float64(), pa.float64(), pa.string())
+
+
 def _pieces(with_text: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _PIECES.split(", ")]
-        as_frame = lambda rows: pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("block_label", "speaker_no", "first_pos", "last_pos")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_PIECE_NAMES), _PIECE_TYPES)], _PIECE_NAMES)
         rows: list[tuple] = []
-        for source, block, cues in C.blocks(frames):
+        for source, block, cues in C.blocks(batches):
             turns, label = block_turns(cues)
             for i, (who, first, last, times, texts) in enumerate(turns):
                 rows.append((source, block, i, len(turns), label, who, first, last, *_bounds(times), " ".join(texts) if with_text else None))
             if not turns and label is not None:  # labels without words still change the speaker
                 rows.append((source, block, 0, 0, label, None, None, None, None, None, None))
             if len(rows) > 5000:
-                yield as_frame(rows)
+                yield as_batch(rows)
                 rows = []
-        yield as_frame(rows)
+        yield as_batch(rows)
 
     return run
 
@@ -115,7 +118,7 @@ def _join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _turn_parts(segments: DataFrame, speakers: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    parts = cut(C.block_rows(segments, speakers).mapInPandas(_pieces(with_text), _PIECES), "turns")
+    parts = cut(C.block_rows(segments, speakers).mapInArrow(_pieces(with_text), _PIECES), "turns")
     edge = F.expr("seq <= 1 or seq + 1 = n_seq")  # a block's second turn may go on with the open one before it
     slim = parts.where(edge).drop("text").repartition("source_id").sortWithinPartitions("source_id", "block", "seq")
     joined = slim.mapInPandas(_join, _TURNS)
