@@ -237,7 +237,7 @@ def test_baum_welch_recovers_a_chain():
             seen.append(tuple(draw(e[s]) for e in emit))
             s = draw(move[s])
         sequences.append(seen)
-    fitted = spam_pages.baum_welch(sequences, prior=20.0)
+    fitted = spam_pages.baum_welch(sequences, rounds=30, prior=20.0)
     assert np.abs(fitted.move - move).max() < 0.12 and np.abs(fitted.emit[5] - emit[5]).max() < 0.12 and np.allclose(fitted.move.sum(axis=1), 1)
 
 
