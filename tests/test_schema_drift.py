@@ -50,6 +50,26 @@ def test_renamed_container_is_compared_by_its_fields(spark):
     assert drift(spark, {("o", name(1)): old, ("o", name(2)): new}) == {(name(2), "renamed", "usage")}
 
 
+def test_names_with_dots_are_fields_of_their_own(spark):
+    assert drift(spark, {("o", name(1)): [{"type": "x"}], ("o", name(2)): [{"type": "x", "a.b": 1}]}) == {(name(2), "added", "a.b")}
+    assert drift(spark, {("o", name(1)): [{"t": 1, "a": {"b": 1}}], ("o", name(2)): [{"t": 1, "a": {"b": 1}, "a.b": "s"}]}) == {(name(2), "added", "a.b")}
+
+
+def test_pieces_of_a_file_change_nothing(spark, monkeypatch):
+    files = {("o", name(d)): [{"type": "a", ("n" if d < 3 else "count"): i, "who": f"u{i}"} for i in range(40)] for d in range(1, 5)}
+    whole = drift(spark, files)
+    monkeypatch.setattr(S, "PIECE_LINES", 3)
+    monkeypatch.setattr(S, "FLUSH_AT", 2)
+    assert drift(spark, files) == whole == {(name(3), "renamed", "count")}
+
+
+def test_the_schema_of_the_consistent_table(spark):
+    files = {("o", name(1)): [{"type": "a", "n": 1, "box": {"x": 1}}] * 3, ("o", name(2)): [{"kind": "a", "n": "1", "box": {"x": True}}] * 2 + [{"n": None, "void": None}]}
+    got = {r["json_path"]: tuple(r)[1:] for r in S.unified_fields(lines(spark, files)).collect()}
+    assert got == {"type": ("string", "string", 2, 5), "n": ("string", "string,number", 1, 6), "box": ("object", "object", 1, 5), "box.x": ("string", "number,boolean", 1, 5), "void": ("null", "", 1, 1)}
+    assert S.unified_fields(lines(spark, files).limit(0)).count() == 0
+
+
 def test_assignment_is_optimal():
     rng = random.Random(1)
     for n, m in ((1, 1), (2, 3), (4, 4), (3, 2)):

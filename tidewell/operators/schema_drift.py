@@ -1,10 +1,10 @@
 """Schema drift over files of JSON lines: profiles, changes from file to file, and one consistent table.
 
-1. Every partition reduces its lines to one profile row per (origin, file, path) while it parses them (which
-   types occur, how often, and a value sketch: one-permutation min-hash of the values and of their shapes), and to
-   one sketch per path. Profiles and sketches are written once and merged by aggregates that combine map-side, so a hot origin
-   or file shuffles only its schema, never its lines.
-2. Files of an origin are ordered by the time in the file name on a slim (origin, file) table. Each profile is
+1. Lines are brought together by file (pieces of ``PIECE_LINES`` lines of a file, so a hot file is spread) and parsed
+   once. A task reduces them to one profile row per (origin, file, path): which types occur, how often, and a value sketch
+   (one-permutation min-hash of the values and of their shapes); and to one sketch per path. Profiles and sketches are
+   written once and merged by aggregates that combine map-side.
+2. Files of an origin are ordered by the time in the file name on a slim (origin, file) table, day by day. Each profile is
    handed to its own file and to the file after it, and every pair of neighbours is compared in a task of its
    own, so an origin with a third of all files is spread as well.
 3. Fields that go and fields that come under the same parent are matched one to one (Hungarian method on name
@@ -12,6 +12,9 @@
 4. ``unify_records`` maps every path to the most frequent name of its rename class; where that name is taken in
    the same record, to its own.
 
+Inside, names are joined by ``SEP``, which no name holds (it is dropped from names), so a name with a dot is one field; results join
+names by dots.
+
 Defined results
 - lines that are no JSON object (null, blank, cut off, ``null``, arrays) carry no fields;
 - a file without any object has the empty schema; a file name without a time sorts after those with one;
@@ -31,7 +34,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.session import cut
@@ -42,6 +45,10 @@ STRING, NUMBER, BOOLEAN, ARRAY, OBJECT = 1, 2, 4, 8, 16
 RENAME_SCORE = 0.45
 #: Profiles held by one task before they are handed on (memory bound, results do not depend on it).
 FLUSH_AT = 40_000
+#: Lines of a file that are parsed in one task, by their numbers (results do not depend on it).
+PIECE_LINES = 50_000
+#: Joins names inside, dots join them in results.
+SEP = "\x1f"
 #: Distinct paths whose sketches are shipped to every task (about 200 bytes each).
 MAX_SHIPPED_PATHS = 50_000
 SLOTS = VALUE_SLOTS + SHAPE_SLOTS
@@ -65,23 +72,14 @@ def parse_object(line: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def type_bit(value: object) -> int:
-    if value is None:
-        return 0
-    if isinstance(value, bool):
-        return BOOLEAN
-    if isinstance(value, str):
-        return STRING
-    if isinstance(value, (int, float)):
-        return NUMBER
-    return ARRAY if isinstance(value, list) else OBJECT
+_BITS = {bool: BOOLEAN, str: STRING, int: NUMBER, float: NUMBER, list: ARRAY, dict: OBJECT}
 
 
 _RUNS = re.compile(r"[A-Za-z]+|\d+")
 
 
 def value_shape(value: object) -> str:
-    """Letters and digits as runs; long texts are one shape; numbers by magnitude."""
+    """Letters and digits as runs; texts of five words or more are one shape; numbers by magnitude."""
     if isinstance(value, bool):
         return "bool"
     if isinstance(value, (int, float)):
@@ -89,35 +87,70 @@ def value_shape(value: object) -> str:
     if isinstance(value, list):
         return "list"
     text = str(value)
-    if text.count(" ") >= 4:
+    if text.count(" ") >= 4:  # words, not a code: their runs say nothing
         return "prose"
-    return _RUNS.sub(lambda m: "9" if m.group()[0].isdigit() else "a", text)[:24]
+    return _RUNS.sub(lambda m: "9" if m.group()[0].isdigit() else "a", text)
+
 
+_paths: dict[str, dict[str, str]] = {}
 
-def walk(record: dict, prefix: str = ""):
+
+def walk(record: dict):
     """(path, value) of all fields; arrays are not entered."""
-    stack = [(prefix, record)]
+    stack = [("", record)]
     while stack:
         at, node = stack.pop()
+        known = _paths.get(at)
+        if known is None:
+            if len(_paths) > 50_000:
+                _paths.clear()
+            known = _paths[at] = {}
         for name, value in node.items():
-            path = f"{at}.{name}" if at else name
+            path = known.get(name)
+            if path is None:
+                if len(known) > 50_000:
+                    known.clear()
+                bare = name.replace(SEP, "")
+                path = known[name] = f"{at}{SEP}{bare}" if at else bare
             yield path, value
-            if isinstance(value, dict):
+            if value.__class__ is dict:
                 stack.append((path, value))
 
 
+def _places(text: str, shape: str | None) -> tuple[int, int, int, int]:
+    digest = zlib.crc32(text.encode("utf-8", "replace"))
+    if shape is None:
+        return digest % VALUE_SLOTS, digest // VALUE_SLOTS, -1, 0
+    second = zlib.crc32(shape.encode("utf-8", "replace"))
+    return digest % VALUE_SLOTS, digest // VALUE_SLOTS, VALUE_SLOTS + second % SHAPE_SLOTS, second // SHAPE_SLOTS
+
+
+#: Where values go in a sketch, by class: most values come again and again.
+_placed: dict[type, dict] = {}
+
+
 def sketch_into(slots: list, value: object) -> None:
     """Adds a value to a sketch: the least rank per slot, of values and of shapes; an object counts by the names of its fields."""
-    for text in value if isinstance(value, dict) else (value if isinstance(value, str) else repr(value),):
-        digest = zlib.crc32(text.encode("utf-8", "replace"))
-        at, rank = digest % VALUE_SLOTS, digest // VALUE_SLOTS
-        if slots[at] is None or rank < slots[at]:
-            slots[at] = rank
-    if not isinstance(value, dict):
-        digest = zlib.crc32(value_shape(value).encode("utf-8", "replace"))
-        at, rank = VALUE_SLOTS + digest % SHAPE_SLOTS, digest // SHAPE_SLOTS
+    kind = value.__class__
+    if kind is dict:
+        known, keys = _placed.setdefault(dict, {}), value
+    elif kind is list:
+        known, keys = _placed.setdefault(list, {}), (repr(value),)
+    else:
+        known, keys = _placed.setdefault(kind, {}), (value,)
+    for key in keys:
+        places = known.get(key)
+        if places is None:
+            if len(known) > 100_000:
+                known.clear()
+            places = _places(key if isinstance(key, str) else repr(key), None if kind is dict else value_shape(value))
+            if not isinstance(key, str) or len(key) < 200:
+                known[key] = places
+        at, rank, second, other = places
         if slots[at] is None or rank < slots[at]:
             slots[at] = rank
+        if second >= 0 and (slots[second] is None or other < slots[second]):
+            slots[second] = other
 
 
 def least_slots(a: list, b: list) -> list:
@@ -143,49 +176,63 @@ def unpack_sketches(parts: list[bytes]) -> list:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    files: dict[tuple, list] = {}
+    files: dict[tuple, dict[str, list]] = {}
+    held = 0
     names = [c.split()[0] for c in _PARSED.split(", ")]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
 
     def flush() -> pa.RecordBatch:
         sketches: dict[str, list] = {}
         rows = []
-        for key, (kinds, n, own) in files.items():
-            rows.append((*key, kinds, n, None, pack_sketch(own)))
-            if kinds:
-                slots = sketches.get(key[2])
-                sketches[key[2]] = own if slots is None else least_slots(slots, own)
+        for key, cells in files.items():
+            rows.append((*key, None, 0, 0, None, None))  # the file itself, also without any object
+            for path, (kinds, n, own) in cells.items():
+                rows.append((*key, path, kinds, n, None, pack_sketch(own)))
+                if kinds:
+                    slots = sketches.get(path)
+                    sketches[path] = own if slots is None else least_slots(slots, own)
         rows += [(None, None, path, 0, 0, slots, None) for path, slots in sketches.items()]
         files.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     for batch in batches:
         for origin, file_name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            cells = files.get((origin, file_name))
+            if cells is None:
+                cells = files[origin, file_name] = {}
+                held += 1
             record = parse_object(raw)
             if record is None:
                 continue
             for path, value in walk(record):
-                cell = files.get(key := (origin, file_name, path))
+                cell = cells.get(path)
                 if cell is None:
-                    cell = files[key] = [0, 0, [None] * SLOTS]
+                    cell = cells[path] = [0, 0, [None] * SLOTS]
+                    held += 1
                 cell[1] += 1
                 if value is not None:
-                    cell[0] |= type_bit(value)
+                    cell[0] |= _BITS.get(value.__class__, 0)
                     sketch_into(cell[2], value)
-        if len(files) > FLUSH_AT:
+        if held > FLUSH_AT:
             yield flush()
+            held = 0
     if files:
         yield flush()
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Partial profiles (own sketch, no slots) and partial sketches of paths (slots, no file) of all tasks, written once."""
-    return cut(lines.select("origin", "file_name", "raw").mapInArrow(_parse, _PARSED), "profiles")
+    """Profiles (own sketch, no slots) and partial sketches of paths (slots, no file) of all tasks, written once.
+
+    Each piece of a file is parsed in one task, so a file gives few partial rows instead of one per task that meets it.
+    """
+    piece = F.floor(F.coalesce("line_no", F.lit(0)) / PIECE_LINES)
+    together = lines.select("origin", "file_name", "raw", piece.alias("piece")).repartition("origin", "file_name", "piece").drop("piece")
+    return cut(together.mapInArrow(_parse, _PARSED), "profiles")
 
 
 def merge_profiles(parsed: DataFrame) -> DataFrame:
     """One row per (origin, file_name, json_path) with types and count."""
-    return parsed.where("slots is null").groupBy("origin", "file_name", "json_path").agg(F.bit_or("types").alias("types"), F.sum("n").alias("n"))
+    return parsed.where("slots is null and json_path is not null").groupBy("origin", "file_name", "json_path").agg(F.bit_or("types").alias("types"), F.sum("n").alias("n"))
 
 
 def merge_sketches(parsed: DataFrame) -> DataFrame:
@@ -304,8 +351,8 @@ def schema_changes(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[s
 
     def level(fields: dict[str, Field], parent: str) -> dict[str, str]:
         if parent:
-            return {n: f"{parent}.{n}" for n in fields[parent].children if f"{parent}.{n}" in fields}
-        return {p: p for p in fields if "." not in p}
+            return {n: f"{parent}{SEP}{n}" for n in fields[parent].children if f"{parent}{SEP}{n}" in fields}
+        return {p: p for p in fields if SEP not in p}
 
     stack = [("", "")]
     while stack:
@@ -330,7 +377,7 @@ def as_fields(rows: list[dict], sketches: dict[str, list] | None) -> dict[str, F
     """From rows with json_path, types, own and, where no sketches are given, slots."""
     fields = {r["json_path"]: Field(r["types"], r["slots"] if sketches is None else sketches.get(r["json_path"]), r["own"]) for r in rows}
     for path in fields:
-        parent, _, name = path.rpartition(".")
+        parent, _, name = path.rpartition(SEP)
         if parent in fields:
             fields[parent].children.add(name)
     return fields
@@ -355,25 +402,35 @@ def _differ(shipped):
 # ---------------------------------------------------------------- operators
 
 
-def file_order(lines: DataFrame) -> DataFrame:
-    """(origin, file_name, next_file, is_first) by the time in the file name."""
+def file_order(files: DataFrame) -> DataFrame:
+    """(origin, file_name, next_file, is_first) by the time in the file name.
+
+    Files are ordered within their day; a day's last file is followed by the first one of the next day that has any, so
+    an origin with a third of all files is spread over its days.
+    """
     clock = F.nullif(F.regexp_extract("file_name", r"(\d{4}-\d\d-\d\dT\d\d-\d\d-\d\d)[^/]*$", 1), F.lit(""))
-    order = Window.partitionBy("origin").orderBy(F.col("clock").asc_nulls_last(), "file_name")
-    files = lines.select("origin", "file_name").distinct().where("file_name is not null").withColumn("clock", clock)
-    return files.select(
-        "origin", "file_name", F.lead("file_name").over(order).alias("next_file"), (F.row_number().over(order) == 1).alias("is_first")
+    known = files.select("origin", "file_name").where("file_name is not null").distinct().withColumn("clock", F.coalesce(clock, F.lit("~")))
+    known = known.withColumn("day", F.substring("clock", 1, 10)).withColumn("o", F.coalesce(F.concat(F.lit("="), "origin"), F.lit("")))  # a key that is never null
+    inside = Window.partitionBy("o", "day").orderBy("clock", "file_name")
+    days = known.groupBy("o", "day").agg(F.min_by("file_name", F.struct("clock", "file_name")).alias("first"))
+    over_days = Window.partitionBy("o").orderBy("day")
+    days = days.select("o", "day", F.lead("first").over(over_days).alias("first_after"), (F.row_number().over(over_days) == 1).alias("first_day"))
+    placed = known.withColumn("next_inside", F.lead("file_name").over(inside)).withColumn("place", F.row_number().over(inside))
+    return placed.join(days, ["o", "day"]).select(
+        "origin", "file_name", F.coalesce("next_inside", "first_after").alias("next_file"), (F.col("first_day") & (F.col("place") == 1)).alias("is_first")
     )
 
 
 def schema_drift(lines: DataFrame) -> DataFrame:
     """(origin, file_name, change_kind, json_path, path_before): every change against the file before."""
-    return _drift(lines, parse_lines(lines))
+    found = _drift(parse_lines(lines))
+    return found.withColumns({c: F.translate(c, SEP, ".") for c in ("json_path", "path_before")})
 
 
-def _drift(lines: DataFrame, parsed: DataFrame) -> DataFrame:
-    spark = lines.sparkSession
+def _drift(parsed: DataFrame) -> DataFrame:
+    spark = parsed.sparkSession
     own = F.collect_list("own").alias("own")  # as many as tasks that read the file
-    profiles = parsed.where("slots is null").groupBy("origin", "file_name", "json_path").agg(F.bit_or("types").alias("types"), own)
+    profiles = parsed.where("slots is null and json_path is not null").groupBy("origin", "file_name", "json_path").agg(F.bit_or("types").alias("types"), own)
     sketches, shipped = merge_sketches(parsed), None
     known = sketches.limit(MAX_SHIPPED_PATHS + 1).collect()
     if len(known) <= MAX_SHIPPED_PATHS:
@@ -383,7 +440,7 @@ def _drift(lines: DataFrame, parsed: DataFrame) -> DataFrame:
         packed = profiles.join(sketches, "json_path", "left")
     field = F.struct("json_path", "types", "slots", "own")
     per_file = packed.groupBy("origin", "file_name").agg(F.collect_list(field).alias("fields"))  # as many as fields in a file
-    order = file_order(lines).alias("o")
+    order = file_order(parsed.where("slots is null and json_path is null")).alias("o")
     joined = order.join(per_file.alias("p"), F.col("o.origin").eqNullSafe(F.col("p.origin")) & (F.col("o.file_name") == F.col("p.file_name")), "left")
     tagged = lambda new: F.transform(F.coalesce("p.fields", F.array().cast("array<struct<json_path:string,types:int,slots:array<int>,own:array<binary>>>")), lambda x: x.withField("is_new", F.lit(new)))
     both = joined.select(
@@ -424,7 +481,7 @@ def rename_classes(drift: DataFrame, profiles: DataFrame) -> dict[str, str]:
     first: dict[str, str] = {}
     by_depth: dict[int, list[tuple[str, str]]] = {}
     for r in names:
-        by_depth.setdefault(r["json_path"].count("."), []).append((r["path_before"], r["json_path"]))
+        by_depth.setdefault(r["json_path"].count(SEP), []).append((r["path_before"], r["json_path"]))
     for depth in sorted(by_depth):
         level = [tuple(under_prefix(p, first) for p in pair) for pair in by_depth[depth]]
         for old, new in level:
@@ -453,16 +510,16 @@ def rename_classes(drift: DataFrame, profiles: DataFrame) -> dict[str, str]:
     def settle(head: str) -> str:
         """The canonical form of a path of class heads."""
         done = at = ""
-        for name in head.split("."):
-            at = f"{at}.{name}" if at else name
-            name = chosen.get(at, at).rpartition(".")[2]
-            done = f"{done}.{name}" if done else name
+        for name in head.split(SEP):
+            at = f"{at}{SEP}{name}" if at else name
+            name = chosen.get(at, at).rpartition(SEP)[2]
+            done = f"{done}{SEP}{name}" if done else name
         return done
 
     for path in involved:
-        prefix, _, name = path.rpartition(".")
-        prefix = f"{settle(prefix)}." if prefix else ""
-        to = chosen[path].rpartition(".")[2]
+        prefix, _, name = path.rpartition(SEP)
+        prefix = f"{settle(prefix)}{SEP}" if prefix else ""
+        to = chosen[path].rpartition(SEP)[2]
         if to != name:
             canonical[prefix + name] = prefix + to
     return canonical
@@ -471,16 +528,16 @@ def rename_classes(drift: DataFrame, profiles: DataFrame) -> dict[str, str]:
 def canonical_path(path: str, classes: dict[str, str]) -> str:
     """Renames every prefix of a path, and then the path, from the root down."""
     done = ""
-    for name in path.split("."):
-        done = f"{done}.{name}" if done else name
+    for name in path.split(SEP):
+        done = f"{done}{SEP}{name}" if done else name
         done = classes.get(done, done)
     return done
 
 
 def under_prefix(path: str, classes: dict[str, str]) -> str:
     """The path with its last name as it is, under its canonical prefix."""
-    prefix, _, name = path.rpartition(".")
-    return f"{canonical_path(prefix, classes)}.{name}" if prefix else name
+    prefix, _, name = path.rpartition(SEP)
+    return f"{canonical_path(prefix, classes)}{SEP}{name}" if prefix else name
 
 
 def named_fields(leaves: list[tuple[str, str, str | None]]) -> dict[str, str | None]:
@@ -501,14 +558,48 @@ def named_fields(leaves: list[tuple[str, str, str | None]]) -> dict[str, str | N
     return fields
 
 
+_TYPE_NAMES = ((STRING, "string"), (NUMBER, "number"), (BOOLEAN, "boolean"), (ARRAY, "array"), (OBJECT, "object"))
+
+
+def _classes(lines: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    parsed = parse_lines(lines)
+    profiles = merge_profiles(parsed)
+    return profiles, rename_classes(_drift(parsed), profiles)
+
+
+def _shown(path: Column) -> Column:
+    """Names joined by dots, dots in names written as ``\\.``."""
+    return F.translate(F.replace(path, F.lit("."), F.lit("\\.")), SEP, ".")
+
+
+def unified_fields(lines: DataFrame) -> DataFrame:
+    """(json_path, value_type, types_seen, names_seen, n_records): the schema of the consistent table, one row per field.
+
+    A field that came with several types is read as the one all of them have a text form of: string. ``names_seen``
+    counts the paths under which it came.
+    """
+    profiles, classes = _classes(lines)
+
+    def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([canonical_path(p, classes) for p in paths], pa.string()), *batch.columns], ["to", "path", "types", "n"])
+
+    per_path = profiles.groupBy("json_path").agg(F.bit_or("types").alias("types"), F.sum("n").alias("n"))
+    named = per_path.mapInArrow(unify, "to string, path string, types int, n bigint")
+    fields = named.groupBy("to").agg(F.bit_or("types").alias("types"), F.count("*").cast("int").alias("names_seen"), F.sum("n").alias("n_records"))
+    names = F.array_compact(F.array(*[F.when(F.col("types").bitwiseAND(bit) > 0, F.lit(name)) for bit, name in _TYPE_NAMES]))
+    kind = F.when(F.size(names) == 1, names[0]).when(F.size(names) == 0, F.lit("null")).otherwise(F.lit("string"))
+    return fields.select(_shown(F.col("to")).alias("json_path"), kind.alias("value_type"), F.array_join(names, ",").alias("types_seen"), "names_seen", "n_records")
+
+
 def unify_records(lines: DataFrame) -> DataFrame:
     """(origin, file_name, line_no, fields): each JSON object as canonical path -> value, values as text.
 
-    Containers are not listed, only leaves and arrays (as JSON); equal rows stay equal rows. Fields of one class that
+    Containers are not listed, only leaves and arrays (as JSON); dots in names are written as ``\\.``; equal rows stay equal rows. Fields of one class that
     stand side by side in a record are all kept, see ``named_fields``.
     """
-    parsed = parse_lines(lines)
-    classes = rename_classes(_drift(lines, parsed), merge_profiles(parsed))
+    _, classes = _classes(lines)
 
     def unify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, str] = {}
@@ -525,7 +616,7 @@ def unify_records(lines: DataFrame) -> DataFrame:
                     if path not in known:
                         known[path] = canonical_path(path, classes)
                     leaves.append((known[path], path, None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)))
-                rows.append((origin, file_name, line_no, named_fields(leaves)))
+                rows.append((origin, file_name, line_no, {k.replace(".", "\\.").replace(SEP, "."): v for k, v in named_fields(leaves).items()}))
             yield pd.DataFrame(rows, columns=["origin", "file_name", "line_no", "fields"])
 
     return lines.select("origin", "file_name", "line_no", "raw").mapInPandas(

@@ -33,7 +33,11 @@ def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.unify_records(table(spark, folder, "rollout_lines"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p2_new_batches": p2_new_batches, "p6_found": p6_found, "p6_unified": p6_unified}
+def p6_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift.unified_fields(table(spark, folder, "rollout_lines"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p2_new_batches": p2_new_batches, "p6_found": p6_found, "p6_unified": p6_unified, "p6_fields": p6_fields}
 
 _BARE = r"regexp_extract(regexp_replace(regexp_replace(id, '(\S)[?#].*$', '\1'), '[/\s]+$', ''), '([0-9A-Za-z_\-]+)[^0-9A-Za-z_\-]*$', 1)"
 _ROWS = f"""
