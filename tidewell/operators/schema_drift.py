@@ -226,7 +226,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Each piece of a file is parsed in one task, so a file gives few partial rows instead of one per task that meets it.
     """
     piece = F.floor(F.coalesce("line_no", F.lit(0)) / PIECE_LINES)
-    together = lines.select("origin", "file_name", "raw", piece.alias("piece")).repartition("origin", "file_name", "piece").drop("piece")
+    together = lines.select("origin", "file_name", "raw", piece.alias("piece")).repartition("origin", "file_name", "piece").sortWithinPartitions("origin", "file_name").drop("piece")
     return cut(together.mapInArrow(_parse, _PARSED), "profiles")
 
 
@@ -373,9 +373,12 @@ def schema_changes(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[s
     return out
 
 
-def as_fields(rows: list[dict], sketches: dict[str, list] | None) -> dict[str, Field]:
-    """From rows with json_path, types, own and, where no sketches are given, slots."""
-    fields = {r["json_path"]: Field(r["types"], r["slots"] if sketches is None else sketches.get(r["json_path"]), r["own"]) for r in rows}
+_CHANGES = "origin string, file_name string, change_kind string, json_path string, path_before string"
+
+
+def _fields(at: dict[str, int], types: list[int], own: pa.Array, slots: pa.Array, sketches: dict[str, list] | None) -> dict[str, Field]:
+    """Fields of one file from the places of its paths in the columns."""
+    fields = {p: Field(types[i], slots[i].as_py() if sketches is None else sketches.get(p), own[i].as_py()) for p, i in at.items()}
     for path in fields:
         parent, _, name = path.rpartition(SEP)
         if parent in fields:
@@ -383,17 +386,26 @@ def as_fields(rows: list[dict], sketches: dict[str, list] | None) -> dict[str, F
     return fields
 
 
-_CHANGES = "origin string, file_name string, change_kind string, json_path string, path_before string"
-
-
 def _differ(shipped):
+    """Most files have the schema of the file before: only of the others are sketches and children read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = None if shipped is None else shipped.value
         for batch in batches:
             rows = []
-            for origin, file_name, fields in zip(*(c.to_pylist() for c in batch.columns)):
-                old, new = as_fields([f for f in fields if not f["is_new"]], sketches), as_fields([f for f in fields if f["is_new"]], sketches)
-                rows += [(origin, file_name, *c) for c in schema_changes(old, new)]
+            origins, names, column = batch.column(0), batch.column(1), batch.column(2)
+            ends, values = column.offsets.to_pylist(), column.values
+            paths, types, is_new = (values.field(n).to_pylist() for n in ("json_path", "types", "is_new"))
+            own, slots = values.field("own"), values.field("slots")
+            for k in range(batch.num_rows):
+                old, new = {}, {}
+                for i in range(ends[k], ends[k + 1]):
+                    (new if is_new[i] else old)[paths[i]] = i
+                if old.keys() == new.keys() and all(types[i] == types[new[p]] for p, i in old.items()):
+                    continue
+                changes = schema_changes(_fields(old, types, own, slots, sketches), _fields(new, types, own, slots, sketches))
+                origin, file_name = origins[k].as_py(), names[k].as_py()
+                rows += [(origin, file_name, *c) for c in changes]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], [c.split()[0] for c in _CHANGES.split(", ")])
 
     return run
