@@ -187,6 +187,21 @@ def test_backpropagation_against_differences():
             assert abs((up - down) / (2 * e) - g[i]) < 2e-2 * max(1.0, abs(g[i])) + 2e-3
 
 
+def test_states_are_carried_over_chunks(model):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, (57, STRIDE)).astype(np.uint8)
+    whole = model.network.log_probabilities(data[None])[:, 0]
+    for chunk in (1, 7, 56, 57, 100):
+        assert np.allclose(model.network.long_log_probabilities(data, chunk), whole, atol=1e-4)
+
+
+def test_long_texts_are_read_like_short_ones(model, monkeypatch):
+    text = "A brittle engine verifies every overlapping cue because the clock drifted. Die Prüfgruppe veröffentlicht alle Notizen bis zum nächsten Zurücksetzen. " * 6
+    whole = model.label([text])
+    monkeypatch.setattr(L, "PIECE", 16)
+    assert [[f[:3] for f in x] for x in model.label([text])] == [[f[:3] for f in x] for x in whole] and len(whole[0]) == 12
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return L.fit(spark.read.parquet(SAMPLES))

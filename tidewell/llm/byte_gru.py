@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network over bytes in numpy, trained by backpropagation through time.
 
-A step reads ``STRIDE`` bytes, each by its own table of 256 rows, so the input needs no product; the rows of equal
-steps are summed once per block of texts. Gates are piecewise linear and the candidate is a softsign: both run at
+A step reads ``STRIDE`` bytes, each by its own table of 256 rows, so the input needs no product, and labels every one of
+them by its own output table; the rows of equal steps are summed once per block of texts. Gates are piecewise linear and the candidate is a softsign: both run at
 memory speed in numpy, where exponentials would take most of the time. Both directions are one stacked product.
 """
 
@@ -22,7 +22,7 @@ def _gate(x: np.ndarray) -> np.ndarray:
 
 
 class ByteGRU:
-    """Parameters: X (2, STRIDE, 256, 3H) input rows, U (2, H, 3H) recurrence, V (2H, C) and c (C) output."""
+    """Parameters: X (2, STRIDE, 256, 3H) input rows, U (2, H, 3H) recurrence, V (2H, STRIDE C) and c (STRIDE C) output."""
 
     def __init__(self, classes: int, hidden: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -30,28 +30,31 @@ class ByteGRU:
         self.p = {
             "X": (0.3 * rng.standard_normal((2, STRIDE, 256, 3 * hidden))).astype(F32),
             "U": (rng.standard_normal((2, hidden, 3 * hidden)) / np.sqrt(hidden)).astype(F32),
-            "V": (rng.standard_normal((2 * hidden, classes)) / np.sqrt(2 * hidden)).astype(F32),
-            "c": np.zeros(classes, F32),
+            "V": (rng.standard_normal((2 * hidden, STRIDE * classes)) / np.sqrt(2 * hidden)).astype(F32),
+            "c": np.zeros(STRIDE * classes, F32),
         }
 
-    def states(self, data: np.ndarray, keep: bool = False):
-        """data (B, T, STRIDE) of bytes -> hidden states (2, T, B, H) in reading order of each direction; with what BPTT needs."""
+    def states(self, data: np.ndarray, keep: bool = False, directions: tuple[int, ...] = (0, 1), state: np.ndarray | None = None):
+        """data (B, T, STRIDE) of bytes -> hidden states (directions, T, B, H) in reading order of each direction; with what BPTT needs.
+
+        ``state`` (directions, B, H) goes on from the end of what each direction read before.
+        """
         b, t = data.shape[:2]
-        h = self.h
-        x, u = self.p["X"], self.p["U"]
+        h, d = self.h, len(directions)
+        x, u = self.p["X"][list(directions)], self.p["U"][list(directions)]
         steps = np.ascontiguousarray(data).view(np.uint32).reshape(b, t)
         kinds, index = np.unique(steps, return_inverse=True)
         parts = kinds.view(np.uint8).reshape(-1, STRIDE)
-        table = sum(x[:, i, parts[:, i]] for i in range(STRIDE))  # (2, kinds, 3H)
+        table = sum(x[:, i, parts[:, i]] for i in range(STRIDE))  # (directions, kinds, 3H)
         index = index.reshape(b, t).T
         # one contiguous table, product and array per gate: numpy then runs over flat memory
         flat = [np.ascontiguousarray(table[..., k * h : (k + 1) * h]).reshape(-1, h) for k in range(3)]
         part_u = [np.ascontiguousarray(u[..., k * h : (k + 1) * h]) for k in range(3)]
-        both = np.stack([index, index[::-1] + len(kinds)])  # rows of the flat tables, (2, T, B)
-        out = np.zeros((2, t, b, h), F32)
-        state = np.zeros((2, b, h), F32)
+        both = np.stack([(index if way == 0 else index[::-1]) + i * len(kinds) for i, way in enumerate(directions)])  # rows of the flat tables
+        out = np.zeros((d, t, b, h), F32)
+        state = np.zeros((d, b, h), F32) if state is None else state.copy()
         kept = []
-        rec, work = np.empty((2, b, h), F32), np.empty((2, b, h), F32)
+        rec, work = np.empty((d, b, h), F32), np.empty((d, b, h), F32)
         for i in range(t):
             rows = both[:, i]
             z, r, n = (np.take(f, rows, axis=0) for f in flat)
@@ -74,30 +77,50 @@ class ByteGRU:
             out[:, i] = state
         return out, kept, (both, parts)
 
-    def log_probabilities(self, data: np.ndarray) -> np.ndarray:
-        """(T, B, C) log probability of every class at every step."""
-        out, _, _ = self.states(data)
-        t, b = out.shape[1:3]
+    def _scores(self, forth: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """(n, C) from hidden states (n, H) of both directions: log probabilities of each byte of a step, pooled over the step."""
         v = self.p["V"]
-        logits = out[0].reshape(t * b, -1) @ v[: self.h]
-        logits += out[1, ::-1].reshape(t * b, -1) @ v[self.h :]
+        logits = forth @ v[: self.h]
+        logits += back @ v[self.h :]
         logits += self.p["c"]
         np.clip(logits, F32(-30), F32(30), out=logits)
-        logits -= np.log(np.exp(logits) @ np.ones((self.c, 1), F32))
-        return logits.reshape(t, b, -1)
+        each = logits.reshape(-1, self.c)
+        each -= np.log(np.exp(each) @ np.ones((self.c, 1), F32))
+        return logits.reshape(-1, STRIDE, self.c).mean(axis=1)
+
+    def log_probabilities(self, data: np.ndarray) -> np.ndarray:
+        """(T, B, C) log probability of every class, pooled over the bytes of every step."""
+        out, _, _ = self.states(data)
+        t, b = out.shape[1:3]
+        return self._scores(out[0].reshape(t * b, -1), out[1, ::-1].reshape(t * b, -1)).reshape(t, b, -1)
+
+    def long_log_probabilities(self, data: np.ndarray, chunk: int) -> np.ndarray:
+        """(T, C) of one text (T, STRIDE) read in chunks of steps; each direction takes its state over from chunk to chunk."""
+        at = range(0, len(data), chunk)
+        forth, state = [], None
+        for i in at:
+            out, _, _ = self.states(data[None, i : i + chunk], directions=(0,), state=state)
+            forth.append(out[0, :, 0])
+            state = out[:, -1]
+        scores, state = [], None
+        for i, ahead in zip(reversed(at), reversed(forth)):
+            out, _, _ = self.states(data[None, i : i + chunk], directions=(1,), state=state)
+            scores.append(self._scores(ahead, out[0, ::-1, 0]))
+            state = out[:, -1]
+        return np.concatenate(scores[::-1])
 
     def gradients(self, data: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over positions with label >= 0, and its gradient by backpropagation through time."""
+        """Mean cross-entropy over the bytes of steps with label (B, T) >= 0, and its gradient by backpropagation through time."""
         h = self.h
         out, kept, both = self.states(data, keep=True)
         t, b = out.shape[1:3]
         v = self.p["V"]
         joined = np.concatenate([out[0], out[1, ::-1]], axis=2).reshape(t * b, 2 * h)
-        logits = joined @ v + self.p["c"]
+        logits = (joined @ v + self.p["c"]).reshape(-1, self.c)
         logits -= logits.max(axis=1, keepdims=True)
         prob = np.exp(logits)
         prob /= prob.sum(axis=1, keepdims=True)
-        target = labels.T.reshape(-1)
+        target = np.repeat(labels.T.reshape(-1), STRIDE)
         known = target >= 0
         count = max(1, int(known.sum()))
         loss = -float(np.log(prob[known, target[known]] + 1e-9).sum()) / count
@@ -105,6 +128,7 @@ class ByteGRU:
         d[known, target[known]] -= 1
         d[~known] = 0
         d /= F32(count)
+        d = d.reshape(t * b, -1)
         grads = {"V": joined.T @ d, "c": d.sum(axis=0)}
         dj = (d @ v.T).reshape(t, b, 2 * h)
         dout = np.stack([dj[..., :h], dj[::-1, :, h:]])  # (2, T, B, H)

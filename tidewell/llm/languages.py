@@ -1,6 +1,6 @@
 """Language of every document and of every passage of a mixed one, with a confidence.
 
-A bidirectional GRU over bytes labels every position; positions are pooled to words, a Viterbi pass over the words
+A bidirectional GRU over bytes labels every byte; bytes are pooled to words, a Viterbi pass over the words
 with a price for every switch cuts the text into passages of one language, and a passage counts from
 ``MIN_WORDS`` words on (in scripts without blanks from ``MIN_CHARS`` letters on). Links, tags, handles, numbers and
 symbols are no language and are not read.
@@ -10,7 +10,7 @@ bound), strung together at random so that it learns to switch, and shipped to th
 repeated only when the samples change. Labelling is one narrow stage over all texts, whole: no shuffle.
 
 Defined results: null, blank and language-less texts have no passages and no language (null); repeated rows get
-repeated results; labels that name no known language name none; very long texts are read in pieces cut at blanks.
+repeated results; labels that name no known language name none; very long texts are read in chunks that carry the states over.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from tidewell.llm.sample import hash_sample
 
 MAX_SAMPLES = 20_000
 MIN_WORDS, MIN_CHARS = 4, 7
-HIDDEN, STEPS, BATCH, LENGTH = 16, 180, 128, 40
+HIDDEN, STEPS, BATCH, LENGTH = 16, 130, 128, 40
 #: Labelled texts whose labels the first network agrees with train it further (about so many, by hashed row number).
-MAX_LABELLED, MORE_STEPS = 8_000, 200
+MAX_LABELLED, MORE_STEPS = 8_000, 120
 #: Price of a switch of language between sentences and inside one, in log probability summed over steps.
 SWITCH, SWITCH_INSIDE = 22.0, 45.0
-#: Steps read in one go; longer texts are cut between words.
-PIECE = 320
+#: Steps of a text that are read side by side with other texts; longer texts are read alone, in chunks that hand their
+#: states on in both directions, so the result does not depend on it.
+PIECE = 1024
 
 #: Language codes by which labels name a language.
 CODES = {
@@ -112,18 +113,15 @@ class LanguageModel:
         """Per text the log probabilities (words, languages), summed over the steps of each word."""
         pieces: list[tuple[bytes, list[int]]] = []
         owners: list[int] = []
+        out: list[np.ndarray] = [np.zeros((0, len(self.languages)), np.float32)] * len(texts)
         for i, words in enumerate(texts):
             raw = [encoded(w) for w in words]
             sizes = [len(r) // STRIDE for r in raw]
-            start = held = 0
-            for j, n in enumerate(sizes):
-                if held and held + n > PIECE:
-                    pieces.append((b"".join(raw[start:j]), sizes[start:j]))
-                    owners.append(i)
-                    start, held = j, 0
-                held += n
-            if start < len(words):
-                pieces.append((b"".join(raw[start:]), sizes[start:]))
+            if sum(sizes) > PIECE:
+                found = self.network.long_log_probabilities(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, STRIDE), PIECE)
+                out[i] = np.add.reduceat(found, np.cumsum([0, *sizes[:-1]]), axis=0)
+            elif words:
+                pieces.append((b"".join(raw), sizes))
                 owners.append(i)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i][0]))
         scores: list = [None] * len(pieces)
@@ -154,10 +152,9 @@ class LanguageModel:
             for i, part in zip(group, np.split(back[: len(starts)], ends[:-1])):
                 scores[i] = part
             at = stop
-        out: list[list[np.ndarray]] = [[] for _ in texts]
         for i, owner in enumerate(owners):
-            out[owner].append(scores[i])
-        return [np.concatenate(s) if len(s) > 1 else s[0] if s else np.zeros((0, len(self.languages)), np.float32) for s in out]
+            out[owner] = scores[i]
+        return out
 
     def passages(self, words: list[str], starts: list[bool], scores: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(language, first word, last word, confidence) of the passages that are long enough."""

@@ -27,6 +27,7 @@ from tidewell.session import cut
 
 #: Buckets per level and levels: 4 x 10 bits of the hash.
 BUCKET_BITS, LEVELS = 10, 4
+#: Targets accepted (refused above): they and one row of each per level come to the driver and go to the tasks.
 MAX_TARGETS = 10_000
 
 
@@ -46,26 +47,41 @@ def tokens_by_document(documents: DataFrame, vocabulary: str = bpe.VOCABULARY) -
     return bpe.count_tokens(slim, vocabulary=vocabulary).select("doc_id", "source", "n_tokens", hashed)
 
 
+_STATE = "source string, rest double, prefix bigint, depth int"
+
+
+def _boundaries(used: DataFrame, open_plans: list[dict], level: int) -> dict[str, tuple[int | None, int]]:
+    """Per source: the bucket at which its tokens exceed what is left (None if they do not), and the tokens before it.
+
+    Sums by bucket stay in the cluster (at most ``2 ** BUCKET_BITS`` per source); one row per source comes back.
+    """
+    spark = used.sparkSession
+    state = F.broadcast(spark.createDataFrame([(p["source"], float(p["rest"]), p["prefix"], p["depth"]) for p in open_plans], _STATE))
+    inside = used.join(state, "source")
+    if level:
+        inside = inside.where(F.shiftright("h", BUCKET_BITS * (LEVELS - level)) == F.col("prefix"))
+    sums = inside.groupBy("source", "rest", _digits(level).alias("b")).agg(F.sum("n_tokens").alias("t"))
+    so_far = F.sum("t").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    crossed = sums.withColumn("c", so_far).groupBy("source").agg(
+        F.min(F.when(F.col("c") > F.col("rest"), F.col("b"))).alias("bucket"), F.coalesce(F.max(F.when(F.col("c") <= F.col("rest"), F.col("c"))), F.lit(0)).alias("done")
+    )
+    return {r["source"]: (r["bucket"], r["done"]) for r in crossed.collect()}
+
+
 def plan_mix(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
     """Per target: repeats of the whole source and the hash threshold below which a document is used once more.
 
-    Only targets (bounded by ``MAX_TARGETS``) and bucket sums come to the driver.
+    Only one row per target (bounded by ``MAX_TARGETS``) comes to the driver, per level.
     """
     wanted = targets.select(source_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap"))
     wanted = wanted.where("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).limit(MAX_TARGETS + 1).collect()
     if len(wanted) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    names = [r["source"] for r in wanted]
-    used = counted.where(F.col("source").isin(names) & (F.col("n_tokens") > 0)) if names else counted.limit(0)
-
-    def sums(df: DataFrame, level: int) -> dict[str, list[tuple[int, int]]]:
-        out: dict[str, list[tuple[int, int]]] = {}
-        for r in df.groupBy("source", _digits(level).alias("b")).agg(F.sum("n_tokens").alias("t")).collect():
-            out.setdefault(r["source"], []).append((r["b"], r["t"]))
-        return {k: sorted(v) for k, v in out.items()}
-
-    first = sums(used, 0)
-    size = {s: sum(t for _, t in v) for s, v in first.items()}
+    if not wanted:
+        return []
+    names = F.broadcast(counted.sparkSession.createDataFrame([(r["source"],) for r in wanted], "source string"))
+    used = counted.where("n_tokens > 0").join(names, "source", "left_semi")
+    size = {r["source"]: r["t"] for r in used.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     able = [r for r in wanted if size.get(r["source"]) and r["share"] > 0 and r["cap"] > 0]
     shares = sum(r["share"] for r in able)
     total = min((size[r["source"]] * r["cap"] * shares / r["share"] for r in able), default=0)
@@ -76,44 +92,30 @@ def plan_mix(counted: DataFrame, targets: DataFrame, total_tokens: int | None =
         have = size.get(r["source"], 0)
         whole = min(int(budget // have), r["cap"]) if have else 0
         rest = budget - whole * have if whole < r["cap"] else 0.0
-        plan.append({"source": r["source"], "target_share": r["share"], "max_repeats": r["cap"], "whole": whole, "rest": rest, "prefix": 0, "open": have > 0 and rest >= 1})
-    found = first
+        plan.append({"source": r["source"], "target_share": r["share"], "max_repeats": r["cap"], "whole": whole, "rest": rest, "prefix": 0, "depth": 0, "open": have > 0 and rest >= 1})
     for level in range(LEVELS):
-        for p in plan:
-            if not p["open"]:
-                continue
-            done = 0
-            for bucket, tokens in found.get(p["source"], []):
-                if done + tokens > p["rest"]:
-                    break
-                done += tokens
-            else:
-                bucket = (1 << BUCKET_BITS)  # all of them fit
-            p["rest"] -= done
-            p["prefix"] = (p["prefix"] << BUCKET_BITS) + bucket
-            p["open"] = bucket < 1 << BUCKET_BITS
-            p["depth"] = level + 1
         refine = [p for p in plan if p["open"]]
-        if level + 1 == LEVELS or not refine:
+        if not refine:
             break
-        inside = F.lit(False)
+        found = _boundaries(used, refine, level)
         for p in refine:
-            inside |= (F.col("source") == p["source"]) & (F.shiftright("h", BUCKET_BITS * (LEVELS - p["depth"])) == p["prefix"])
-        found = sums(used.where(inside), level + 1)
+            bucket, done = found.get(p["source"], (None, 0))
+            p["rest"] -= done
+            p["open"] = bucket is not None
+            p["prefix"] = (p["prefix"] << BUCKET_BITS) + (bucket if bucket is not None else 1 << BUCKET_BITS)
+            p["depth"] = level + 1
     for p in plan:
-        p["below"] = p["prefix"] << (BUCKET_BITS * (LEVELS - p.get("depth", LEVELS)))
+        p["below"] = p["prefix"] << (BUCKET_BITS * (LEVELS - p["depth"])) if p["depth"] else 0
     return plan
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens, copies): the documents of the mix and how often each is used."""
     counted = cut(tokens_by_document(documents, vocabulary), "counts")  # tokens are counted once, then read per level
-    plan = plan_mix(counted, targets, total_tokens)
-    copies = F.lit(0)
-    for p in plan:
-        n = F.lit(p["whole"]) + (F.col("h") < p["below"]).cast("int")
-        copies = F.when(F.col("source") == p["source"], F.least(n, F.lit(p["max_repeats"]))).otherwise(copies)
-    return counted.where("n_tokens > 0").withColumn("copies", copies.cast("int")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    plan = [(p["source"], p["whole"], p["below"], p["max_repeats"]) for p in plan_mix(counted, targets, total_tokens)]
+    planned = F.broadcast(documents.sparkSession.createDataFrame(plan, "source string, whole int, below bigint, most int"))  # at most MAX_TARGETS rows
+    copies = F.least(F.col("whole") + (F.col("h") < F.col("below")).cast("int"), F.col("most")).cast("int")
+    return counted.where("n_tokens > 0").join(planned, "source").withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = bpe.VOCABULARY) -> DataFrame:

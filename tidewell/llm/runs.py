@@ -63,11 +63,11 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     slack = max(SLACK if n > 4 else 1.0, SLACK_SHARE * n)
     if abs(len(a) - len(b)) > slack:
         return 0.0
-    if [w for w in a if w.isdigit()] != [w for w in b if w.isdigit()]:
-        return 0.0
-    left, right = set(a), set(b)
     # a word that the other side lacks costs half at least, as a slip, so this leaves out nothing that could merge
-    if 0.5 * max(sum(w not in right for w in a), sum(w not in left for w in b)) > slack:
+    left, right = (a, b) if n < 24 else (set(a), set(b))
+    if len([w for w in a if w not in right]) > 2 * slack or len([w for w in b if w not in left]) > 2 * slack:
+        return 0.0
+    if [w for w in a if w.isdigit()] != [w for w in b if w.isdigit()]:
         return 0.0
     cost = 0.0
     for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
@@ -129,6 +129,10 @@ class Chain:
 
     def __init__(self, runs: list[Run]):
         self.runs = runs
+        if len(runs) == 1:
+            run = runs[0]
+            self.wordings, self.start, self.end = {run.words: None}, run.start, run.end
+            return
         self.wordings = dict.fromkeys(r.words for r in runs)
         self.start = min((r.start for r in runs if r.start is not None), default=None)
         self.end = max((r.end for r in runs if r.end is not None), default=None)
