@@ -1,12 +1,14 @@
 import random
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewell.functions import clock, jsonx, text
 from tidewell.operators import collections as C
-from tidewell.operators import folds, intervals, rules, sampling, snapshots
-from tidewell.sources import cues, eventlog
+from tidewell import session
+from tidewell.operators import folds, intervals, lookups, rules, sampling, snapshots
+from tidewell.sources import cues, eventlog, pages
 from tidewell.streaming import incremental
 
 
@@ -151,9 +153,9 @@ def test_snapshots(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(1, 'token = "0123456789abcdef01"'), (2, "nothing"), (3, None)], "id int, t string")
+    df = spark.createDataFrame([(1, "key: ghp_0123456789abcdef0123"), (2, "nothing"), (3, None)], "id int, t string")
     found = rules.secret_scan(df, "id", "t")
-    assert found.columns == ["id", "shape"] and [tuple(r) for r in found.collect()] == [(1, "assigned")]
+    assert found.columns == ["id", "shape"] and [tuple(r) for r in found.collect()] == [(1, "ghp")]
     a = spark.createDataFrame([("p", "1"), ("q", None), ("r", "1")], "k string, v string")
     b = spark.createDataFrame([("p", "2"), ("q", "1"), ("r", "1"), ("s", "1")], "k string, v string")
     assert {tuple(r) for r in rules.version_changes(a, b, "k", "v").collect()} == {("p", "1", "2"), ("q", None, "1")}
@@ -178,3 +180,61 @@ def test_event_files(spark, tmp_path):
     (tmp_path / "env").write_text("# c\nA='x'\nA=y\nB=\n")
     assert [tuple(r) for r in eventlog.read_env_file(spark, str(tmp_path / "env")).collect()] == [("A", "x")]
     assert eventlog.list_files(spark, str(tmp_path / "x")).count() == 2
+
+
+def test_border_against_all_lengths():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(0, 7))] for _ in range(2))
+        want = max((k for k in range(1, min(len(a), len(b)) + 1) if a[-k:] == b[:k]), default=0)
+        assert folds.border(a, b) == want
+    assert folds.trim_overlap("a b c d", "b c d e") == "e" and folds.trim_overlap("a b c", "b c d") == "b c d" and folds.trim_overlap("a b", "b") == ""
+
+
+def test_a_caption_ends_with_its_last_cue(spark):
+    df = spark.createDataFrame([("v", 0, 0.0, 9.0, "we go on"), ("v", 1, 1.0, 5.0, "we go on"), ("v", 2, 2.0, 6.0, "we go on and on"), ("v", 3, 6.0, 8.0, "on and on we stop"), ("v", 4, None, None, None)], "source_id string, pos int, start_s double, end_s double, text string")
+    assert [tuple(r) for r in folds.rolling_collapse(df).orderBy("start_s").collect()] == [("v", 0.0, 6.0, "we go on and on", 3), ("v", 6.0, 8.0, "we stop", 1)]
+
+
+def test_state_is_replaced_as_a_whole(spark, tmp_path):
+    path, schema = str(tmp_path / "state"), "k string, v int"
+    assert pages.read_state(spark, path, schema).count() == 0
+    for n in range(4):
+        pages.replace_state(spark.createDataFrame([("a", n), ("b", n)], schema), path)
+        assert {r["v"] for r in pages.read_state(spark, path, schema).collect()} == {n}
+    (tmp_path / "state" / "v9").mkdir()  # a version that was never finished
+    assert {r["v"] for r in pages.read_state(spark, path, schema).collect()} == {3}
+
+
+def test_last_written_of_ties_and_unknown_orders(spark):
+    items = spark.createDataFrame([(1, "r"), (2, "gone"), (3, None)], "i int, ref string")
+    targets = spark.createDataFrame([("r", "old", 1), ("r", "new", 2), ("r", "x", None), ("lost", "y", 1)], "k string, o string, at int")
+    owners = spark.createDataFrame([("new", "N", 1), ("new", "N2", 3), ("x", "X", 1)], "o string, name string, at int")
+    got = lookups.through_reference(items, "ref", targets, "k", "o", owners, "o", "name", order=("at", "at")).orderBy("i").collect()
+    assert [(r["i"], r["owner"], r["owner_name"]) for r in got] == [(1, "new", "N2"), (2, None, None), (3, None, None)]
+    assert C.last_written(spark.createDataFrame([("a", 1, None)], "k string, v int, at int"), "k", "at").first()["v"] == 1
+
+
+def test_a_page_scan_stops(spark):
+    p = spark.createDataFrame([("f", i, 2, None if i == 4 else "t") for i in range(1, 7)] + [("g", 1, None, "t"), ("g", 2, 5, "t")], "feed string, page int, n int, token string")
+    read = lambda **k: sorted(tuple(r)[:2] for r in pages.scan_pages(p, "feed", "page", "n", "token", **k).collect())
+    assert read() == [("f", 1), ("f", 2), ("f", 3), ("f", 4), ("g", 1), ("g", 2)]
+    assert read(wanted=3) == [("f", 1), ("f", 2), ("g", 1), ("g", 2)] and read(most_pages=1) == [("f", 1), ("g", 1)] and read(wanted=0) == []
+
+
+def test_values_of_mixed_payloads(spark):
+    df = spark.createDataFrame([(1, '{"a": "x", "b": [1, {"s": "k"}, null, [2]]}'), (2, '{"a": []}'), (3, "broken"), (4, None)], "i int, raw string")
+    got = df.select("i", F.size(jsonx.first_list(F.col("raw"), ("a", "b"))).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [1, 0, 0, 0]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session)

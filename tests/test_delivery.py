@@ -56,3 +56,9 @@ def test_new_batches_against_stored(spark):
     stored = spark.createDataFrame([(1, "a", "s", "", 0), (2, "b", "s", "", 0)], SCHEMA)
     batch = spark.createDataFrame([(9, "id:a", "S", "", 0), (10, "c", "s", "", 0), (11, "c", "s", "", 0), (12, "b", "t", "", 0), (13, None, "s", "", 0)], SCHEMA)
     assert {(r["row_id"], r["message_id"], r["message_source"]) for r in D.new_messages(batch, stored).collect()} == {(10, "c", "s"), (12, "b", "t")}
+
+
+def test_rows_without_arrival_number_stay(spark):
+    df = spark.createDataFrame([(1, "a", "s", "x", 1), (None, "a", "s", "y", 1), (None, "b", "s", "z", 1), (2, "a", "s", "w", 1)], SCHEMA)
+    assert [r[0] for r in D.repeated_deliveries(df).collect()] == [2]
+    assert sorted(r["key"] for r in D.drop_repeats(df).collect()) == ["x", "y", "z"]

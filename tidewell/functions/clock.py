@@ -100,3 +100,16 @@ def next_calver(version: Column, today: Column) -> Column:
     now = calver_parts(version)
     later = calver_text(today, F.lit(None).cast("int"))
     return F.when(now["d"] < today, later).when(now["d"] == today, calver_text(today, F.coalesce(now["seq"], F.lit(0)) + 1))
+
+
+def local_text(at: Column, zone: str) -> Column:
+    """``YYYY-MM-DD HH:MM:SS +HH:MM`` in a zone: the clock there and its distance from UTC at that time."""
+    there = F.from_utc_timestamp(at, zone)
+    minutes = F.bround((F.unix_micros(there) - F.unix_micros(at)) / 6e7, 0).cast("bigint")
+    apart = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("bigint"), F.abs(minutes) % 60)
+    return F.concat(F.date_format(there, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), apart)
+
+
+def remaining(at: Column, now: Column) -> Column:
+    """Human duration from now to a time; ``0s`` if it has passed."""
+    return human_duration((F.unix_micros(at) - F.unix_micros(now)) / 1e6)

@@ -62,3 +62,21 @@ def display_percent(value: Column) -> Column:
 def whole_number(value: Column) -> Column:
     """A whole number, or null for any other kind."""
     return F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
+def first_list(text: Column, names: Sequence[str]) -> Column:
+    """The objects in the first of the names that holds a list, as array of VARIANT; empty if none does."""
+    value = parsed(text)
+    out = None
+    for name in names:
+        node = F.try_variant_get(value, f"$.{name}", "variant")
+        met = _kind(node).startswith("ARRAY")
+        items = F.try_variant_get(value, f"$.{name}", "array<variant>")
+        out = F.when(met, items) if out is None else out.when(met, items)
+    listed = F.coalesce(out, F.array().cast("array<variant>"))
+    return F.filter(listed, lambda v: F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False)))
+
+
+def field_of(value: Column, names: Sequence[str], cast: str = "string") -> Column:
+    """The first of the names that has a value in a VARIANT object."""
+    return F.coalesce(*[F.try_variant_get(value, f"$.{n}", cast) for n in names])

@@ -97,11 +97,22 @@ def portable_key(paths: pd.Series) -> pd.Series:
     reserved = {"con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))}
 
     def key(path):
-        if not isinstance(path, str) or not path or path.startswith("/"):
+        if not isinstance(path, str) or not path or any(unicodedata.category(c) in ("Cc", "Cf") for c in path):
             return None
         for part in path.split("/"):
-            if part in ("", ".", "..") or part[-1] in " ." or any(c in '<>:"\\|?*' or ord(c) < 32 for c in part) or part.split(".")[0].lower() in reserved:
+            if part in ("", ".", "..") or part[-1] in " ." or any(c in '<>:"\\|?*' for c in part) or part.split(".")[0].casefold() in reserved:
                 return None
         return unicodedata.normalize("NFC", path).casefold()
 
     return paths.map(key)
+
+
+def is_package_name(name: Column) -> Column:
+    """1 to 64 of a-z, 0-9, dot and hyphen, a letter or digit at both ends, no two hyphens or dots in a row."""
+    return F.coalesce(name.rlike(r"^(?=.{1,64}\z)(?!.*(?:--|\.\.))[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\z"), F.lit(False))
+
+
+def is_reverse_domain(name: Column) -> Column:
+    """Two or more labels joined by dots, each of a-z, 0-9 and inner hyphens."""
+    label = "[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+    return F.coalesce(name.rlike(rf"^{label}(?:\.{label})+\z"), F.lit(False))

@@ -24,9 +24,10 @@ def long_text(long: Column, short: Column) -> Column:
 
 
 def last_written(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row written last of each key: a struct maximum, combined before the shuffle."""
+    """The row written last of each key: a maximum by the order, combined before the shuffle; rows of unknown order come first."""
     rest = [c for c in df.columns if c != key]
-    row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(order)).alias("row")
+    struct = F.struct(*[F.col(f"`{c}`") for c in rest])
+    row = F.max_by(struct, F.coalesce(F.struct(F.col(order)), F.struct(F.lit(None).cast(df.schema[order].dataType).alias(order)))).alias("row")
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(row).select(key, "row.*")
 
 

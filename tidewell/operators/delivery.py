@@ -9,6 +9,7 @@ Defined results
 - identifier or source null or blank: the row is never dropped and never counts as an earlier row;
 - equal arrival numbers: rows that are equal in every key column count as one row (``drop_repeats``
   keeps all rows with the kept number);
+- arrival number null: the row is never dropped, and counts as later than all others
 - an empty table gives an empty result; other columns, whatever their names, pass through unchanged.
 """
 
@@ -51,9 +52,9 @@ def first_deliveries(df: DataFrame, id_col: str = "id", source_col: str = "sourc
 
 
 def repeated_deliveries(df: DataFrame, id_col: str = "id", source_col: str = "source", arrival_col: str = "row_id") -> DataFrame:
-    """Arrival numbers of the rows that must go."""
+    """Arrival numbers of the rows that must go; rows without a number cannot be named and are never among them."""
     kept = first_deliveries(df, id_col, source_col, arrival_col).select(arrival_col)
-    keyed = _keyed(df, id_col, source_col, arrival_col).select(arrival_col)
+    keyed = _keyed(df, id_col, source_col, arrival_col).select(arrival_col).where(F.col(arrival_col).isNotNull())
     return keyed.join(kept, arrival_col, "left_anti").distinct()
 
 

@@ -101,3 +101,36 @@ def frame_plan(duration: Column, most: Column, focused: bool = False) -> Column:
     frames = F.greatest(F.lit(1), F.least(cap, F.ceil(fps * duration).cast("int")))
     alone = F.least(cap, F.lit(12)) if focused else cap
     return F.struct(F.when(unknown, F.lit(1.0)).otherwise(fps).alias("fps"), F.when(unknown, alone).otherwise(frames).alias("frames"))
+
+
+#: The interval of regular samples, and the duration beyond which a whole range is sampled thinly.
+INTERVAL_S, SPARSE_S = 5.0, 600.0
+
+
+def expected_frames(duration: Column, interval: Column, most: Column) -> Column:
+    """Samples of a regular interval, the one at 0 counted; the cap without a duration; null for an interval that is none."""
+    cap = frame_cap(most)
+    n = F.greatest(F.lit(1), F.least(cap, F.ceil(duration / interval).cast("int") + 1))
+    return F.when(interval > 0, F.when(duration > 0, n).otherwise(cap))
+
+
+def sampling_plan(duration: Column, most: Column, focused: bool, mode: Column, interval: Column, fps: Column) -> Column:
+    """struct<mode, fps, interval_s, frames, warning, error>: a wished rate wins, then a regular interval, then the ladders.
+
+    Wishes that make no sense give an error and no plan; a rate above the highest is lowered, with a warning.
+    """
+    cap = frame_cap(most)
+    auto = frame_plan(duration, most, focused)
+    rate = F.least(fps, F.lit(MOST_FPS))
+    by_rate = F.when(duration > 0, F.greatest(F.lit(1), F.least(cap, F.ceil(rate * duration).cast("int")))).otherwise(cap)
+    error = F.when(~mode.isin("auto", "interval"), "unknown mode").when(interval <= 0, "empty interval").when(fps <= 0, "empty rate")
+    regular = mode == "interval"
+    chosen = F.when(fps.isNotNull(), "fps").when(regular, "interval").otherwise("auto")
+    used = F.when(fps.isNotNull(), rate).when(regular, 1.0 / interval).otherwise(auto["fps"])
+    frames = F.when(fps.isNotNull(), by_rate).when(regular, expected_frames(duration, interval, most)).otherwise(auto["frames"])
+    warning = F.when(fps > MOST_FPS, "rate lowered").when(fps.isNull() & ~regular & (duration > SPARSE_S) & F.lit(not focused), "sparse")
+    ok = error.isNull()
+    return F.struct(
+        F.when(ok, chosen).alias("mode"), F.when(ok, used).alias("fps"), F.when(ok, F.when((fps.isNull()) & regular, interval).otherwise(1.0 / used)).alias("interval_s"),
+        F.when(ok, frames).alias("frames"), F.when(ok, warning).alias("warning"), error.alias("error"),
+    )

@@ -19,10 +19,13 @@ def through_array(items: DataFrame, key: str, array: str, values: DataFrame, val
     return items.select(key).join(found, key, "left").select(key, F.coalesce(F.transform("x", lambda s: s["v"]), F.array().cast("array<string>")).alias("found"))
 
 
-def through_reference(items: DataFrame, ref: str, targets: DataFrame, target_key: str, owner: str, owners: DataFrame, owner_key: str, name: str) -> DataFrame:
-    """Two left lookups: the referenced row, then the owner of that; what is missing stays null and the item stays."""
-    first = targets.select(F.col(target_key).alias(ref), F.col(owner).alias("__owner")).dropDuplicates([ref])
-    second = owners.select(F.col(owner_key).alias("__owner"), F.col(name).alias("owner_name")).dropDuplicates(["__owner"])
+def through_reference(items: DataFrame, ref: str, targets: DataFrame, target_key: str, owner: str, owners: DataFrame, owner_key: str, name: str, order: tuple[str, str]) -> DataFrame:
+    """Two left lookups: the referenced row, then the owner of that; what is missing stays null and the item stays.
+
+    Of targets and owners that share a key the last written counts, by the two columns of ``order``.
+    """
+    first = last_written(targets.select(target_key, owner, order[0]), target_key, order[0]).select(F.col(target_key).alias(ref), F.col(owner).alias("__owner"))
+    second = last_written(owners.select(owner_key, name, order[1]), owner_key, order[1]).select(F.col(owner_key).alias("__owner"), F.col(name).alias("owner_name"))
     return items.join(first, ref, "left").join(second, "__owner", "left").withColumnRenamed("__owner", "owner")
 
 

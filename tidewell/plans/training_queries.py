@@ -14,7 +14,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
-    return delivery.drop_repeats(table(spark, folder, "bookmark").select("row_id", "batch_id", "pos", "id", "source"))
+    """The kept copies with their content; of nested columns the parts that both engines write alike."""
+    kept = delivery.drop_repeats(table(spark, folder, "bookmark"))
+    return kept.select(
+        "row_id", "batch_id", "pos", "id", "url", "text", F.col("note_tweet.text").alias("long_text"), "created_at", "lang", F.col("author.id").alias("author_id"), F.col("author.name").alias("author_name"),
+        F.size(F.coalesce("media", F.array())).alias("n_media"), F.size(F.coalesce("referenced_tweets", F.array())).alias("n_refs"), F.try_element_at("public_metrics", F.lit("like_count")).alias("likes"), "source", F.unix_micros("fetched_at").alias("fetched_us"),
+    )
 
 
 def p2_new_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +53,9 @@ keyed AS (
 )"""
 SQL = {
     "p2_found": f"WITH {_ROWS} SELECT row_id FROM ranked WHERE rn > 1",
-    "p2_kept": f"WITH {_ROWS} SELECT row_id, batch_id, pos, id, source FROM ranked WHERE rn = 1",
+    "p2_kept": f"""WITH {_ROWS} SELECT b.row_id, b.batch_id, b.pos, b.id, b.url, b.text, b.note_tweet.text AS long_text, b.created_at, b.lang, b.author.id AS author_id, b.author.name AS author_name,
+      CAST(len(coalesce(b.media, [])) AS INT) AS n_media, CAST(len(coalesce(b.referenced_tweets, [])) AS INT) AS n_refs, b.public_metrics['like_count'] AS likes, b.source, epoch_us(b.fetched_at) AS fetched_us
+      FROM ranked JOIN bookmark b USING (row_id) WHERE rn = 1""",
     "p2_new_batches": f"""WITH {_ROWS} SELECT min(row_id) AS row_id, k AS message_id, s AS message_source FROM keyed
       WHERE late AND k IS NOT NULL AND s IS NOT NULL AND (k, s) NOT IN
         (SELECT (k, s) FROM keyed WHERE NOT late AND k IS NOT NULL AND s IS NOT NULL) GROUP BY k, s""",

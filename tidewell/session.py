@@ -25,9 +25,11 @@ def build_session(app_name: str = "tidewell", master: str | None = None, **conf:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the cluster's own setting, else (tests) a temporary folder."""
+    """The shared folder for lineage cuts: the cluster's own setting; only a local session may do without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = Path(tempfile.gettempdir(), "tidewell-checkpoints").as_uri()
     sc = spark.sparkContext
     if not sc.getCheckpointDir():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
@@ -36,3 +36,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256) of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def newest_first(files: DataFrame, root: str, name: str, mtime: str) -> DataFrame:
+    """Adds ``place``: files of each root by time of change, the newest first, unknown ones last, ties by name."""
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(root).orderBy(F.col(mtime).desc_nulls_last(), name)))

@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators import collections as C
+from tidewell.sources import pages
 
 STATE = "scope string, last_seen_id string, last_seen_created_at string"
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The saved state, empty at first."""
-    try:
-        return spark.read.schema(STATE).json(path)
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(missing):
-            return spark.createDataFrame([], STATE)
-        raise
-
-
 def process_batch(batch: DataFrame, state_path: str, sink) -> None:
-    """Hands the new items to ``sink``, then advances the state from the whole batch, before any later filter."""
+    """Hands the new items to ``sink``, then advances the state from the whole batch, before any later filter.
+
+    The state is a versioned table: a crash before the pointer moves repeats the batch, it never loses the cutoff.
+    """
     spark = batch.sparkSession
-    state = read_state(spark, state_path)
+    state = pages.read_state(spark, state_path, STATE)
     advanced = C.advance_state(batch, state).collect()  # one row per scope
     sink(C.since_last(batch, state))
-    spark.createDataFrame(advanced, STATE).coalesce(1).write.mode("overwrite").json(state_path)
+    pages.replace_state(spark.createDataFrame(advanced, STATE), state_path)
 
 
 def start(stream: DataFrame, state_path: str, checkpoint: str, sink) -> StreamingQuery:
