@@ -1,13 +1,13 @@
 import random
 
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import clock, jsonx, text
 from tidewell.operators import collections as C
 from tidewell import session
-from tidewell.operators import folds, intervals, lookups, rules, sampling, snapshots
+from tidewell.operators import blocks, folds, intervals, lookups, rules, sampling, snapshots
 from tidewell.sources import cues, eventlog, pages
 from tidewell.streaming import incremental
 
@@ -102,13 +102,13 @@ def test_even_sample_against_python(spark):
     for n, most in ((10, 4), (3, 8), (57, 9), (100, 100), (2, 2), (5, 1)):
         df = spark.createDataFrame([("g", i) for i in range(n)], "g string, i int")
         want = list(range(n)) if n <= most else [0] if most <= 1 else sorted({round(k * (n - 1) / (most - 1)) for k in range(most)})
-        assert sorted(r["i"] for r in sampling.even_sample(df, "g", ["i"], most).collect()) == want
+        assert sorted(r["i"] for r in sampling.even_sample(df, "g", ["i"], most, F.floor(F.col("i") / 7)).collect()) == want
 
 
 def test_pinned_rows_stay(spark):
     a = spark.createDataFrame([("g", 1.0, 1), ("g", 2.0, 2)], "g string, at double, id int")
     b = spark.createDataFrame([("g", 1.0, 9), ("g", None, 8)], "g string, at double, id int")
-    assert [(r["id"], r["index"]) for r in sampling.merge_pinned(a, b, "g", "at", "id").orderBy("index").collect()] == [(1, 1), (9, 2), (2, 3), (8, 4)]
+    assert [(r["id"], r["index"]) for r in sampling.merge_pinned(a, b, "g", "at", "id", F.floor("at")).orderBy("index").collect()] == [(1, 1), (9, 2), (2, 3), (8, 4)]
     assert sampling.min_count_fallback(a, b, "g", 3).where("fallback").count() == 2
 
 
@@ -238,3 +238,22 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session)
+
+
+def test_blocks_give_what_one_window_gives(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", "hot", "k", None]), rng.choice([None, rng.random() * 100]), rng.choice([None, "", "a", "b"]), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, at double, v string, i int")
+    order = [F.col("at").asc_nulls_last(), "i"]
+    plain = Window.partitionBy("k").orderBy(*order)
+    for width in (1.0, 7.0, 1000.0):
+        got = blocks.with_place(df, "k", order, F.floor(F.col("at") / width), "n")
+        want = df.withColumn("n", F.row_number().over(plain)).withColumn("n_of", F.count("*").over(Window.partitionBy("k")))
+        assert got.exceptAll(want).count() == 0 and got.count() == len(rows)
+        known = df.where("at is not null")
+        filled = snapshots.forward_fill(known, "k", ["at", "i"], "v", "f", F.floor(F.col("at") / width))
+        one = known.withColumn("f", F.last(F.nullif("v", F.lit("")), ignorenulls=True).over(Window.partitionBy("k").orderBy("at", "i").rowsBetween(Window.unboundedPreceding, 0)))
+        assert filled.exceptAll(one).count() == 0 and filled.count() == known.count()
+        spans = known.withColumn("e", F.col("at") + F.col("i") % 5)
+        assert intervals.union_length(spans, "k", "at", "e", width).exceptAll(intervals.union_length(spans, "k", "at", "e", 1e9)).count() == 0
+    assert blocks.with_place(df.limit(0), "k", order, F.floor("at"), "n").count() == 0

@@ -5,9 +5,11 @@ All operators are windows or aggregates over columns; nothing leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import blocks
+
 
 def overlaps(start: Column, end: Column, low: float | None = None, high: float | None = None) -> Column:
     """Touching counts; an open side of the range is infinite; null ends count as 0."""
@@ -19,16 +21,20 @@ def overlaps(start: Column, end: Column, low: float | None = None, high: float |
     return met
 
 
-def union_length(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+#: Seconds of a block in which intervals are compared (results do not depend on it).
+BLOCK_S = 6 * 3600.0
+
+
+def union_length(df: DataFrame, key: str, start: str, end: str, block_s: float = BLOCK_S) -> DataFrame:
     """(key, covered, total): length of the union of each key's intervals and the sum of their lengths.
 
-    The running maximum of the ends before an interval says how much of it is new. Intervals that do not grow are
-    dropped before the shuffle. A key is sorted, not collected, so its size is bounded by disk only.
+    The running maximum of the ends before an interval says how much of it is new. It runs inside blocks of start times and
+    is carried from block to block, so a key of any size is spread.
     """
     real = df.select(F.col(key).alias("k"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e")).where("e > s")
-    before = Window.partitionBy("k").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0.0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.col("s"))))
-    spans = real.select("k", fresh.alias("new"), (F.col("e") - F.col("s")).alias("raw"))
+    seen = blocks.with_running(real, "k", ["s", "e"], F.floor(F.col("s") / block_s), F.col("e"), "before", "max", itself=False)
+    fresh = F.greatest(F.lit(0.0), F.col("e") - F.greatest("s", F.coalesce("before", "s")))
+    spans = seen.select("k", fresh.alias("new"), (F.col("e") - F.col("s")).alias("raw"))
     return spans.groupBy("k").agg(F.round(F.sum("new"), 3).alias("covered"), F.round(F.sum("raw"), 3).alias("total")).withColumnRenamed("k", key)
 
 

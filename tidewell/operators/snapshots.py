@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import blocks
+
+#: Parts of a key in a join with its one row.
+SALTS = 16
+
 
 def latest_snapshot(events: DataFrame, key: str, order: str, is_snapshot: Column, value: Column, carried: Column) -> DataFrame:
     """(key, order, value, carried): the last snapshot event of each key with the last carried value seen up to it.
 
     No window: the snapshot's place is one aggregate, the carried value a second one over events up to that place, and
-    both combine before the shuffle, so a key with a third of all events is no hot task.
+    both combine before the shuffle. Only events with a carried value meet the place in a join, spread by ``SALTS``, so a
+    key with a third of all events is no hot task.
     """
     marked = events.select(F.col(key).alias("k"), F.col(order).alias("o"), is_snapshot.alias("is_snapshot"), value.alias("value"), carried.alias("carried"))
     last = marked.where("is_snapshot").groupBy("k").agg(F.max_by(F.struct("o", "value"), "o").alias("s")).select("k", F.col("s.o").alias("at"), F.col("s.value").alias("value"))
-    carry = marked.where("carried is not null").join(last.select("k", "at"), "k").where("o <= at").groupBy("k").agg(F.max_by("carried", "o").alias("carried"))
+    places = last.select("k", "at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    carrying = marked.where("carried is not null").withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int"))
+    carry = carrying.join(places, ["k", "salt"]).where("o <= at").groupBy("k").agg(F.max_by("carried", "o").alias("carried"))
     return last.join(carry, "k", "left").select(F.col("k").alias(key), F.col("at").alias(order), "value", "carried")
 
 
@@ -23,15 +31,15 @@ def latest_partition(snapshots: DataFrame, scope: Column, at: Column, value: Col
     return snapshots.groupBy(scope.alias("scope")).agg(F.max_by(value, at).alias("value"))
 
 
-def forward_fill(df: DataFrame, key: str, order: list[str], column: str, into: str) -> DataFrame:
-    """The last value that is not null up to and with each row."""
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(into, F.last(F.nullif(F.col(column), F.lit("")), ignorenulls=True).over(upto))
+def forward_fill(df: DataFrame, key: str, order: list[str], column: str, into: str, block: Column) -> DataFrame:
+    """The last value that is neither null nor empty up to and with each row; ``block`` as in ``blocks``."""
+    return blocks.with_running(df, key, order, block, F.nullif(F.col(column), F.lit("")), into, "last", itself=True)
 
 
 def expiry_order(df: DataFrame, key: str, expires: str, index: str) -> DataFrame:
-    """Numbers the rows of each key by expiry, unknown ones last, ties in the given order."""
-    return df.withColumn("expiry_no", F.row_number().over(Window.partitionBy(key).orderBy(F.col(expires).asc_nulls_last(), index)))
+    """Numbers the rows of each key by expiry, unknown ones last, ties in the given order; days are the blocks."""
+    placed = blocks.with_place(df, key, [F.col(expires).asc_nulls_last(), index], F.unix_date(F.col(expires).cast("date")), "expiry_no")
+    return placed.drop("expiry_no_of")
 
 
 def next_expiring(df: DataFrame, key: str, status: str, expires: str, index: str, wanted: str = "available") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import clock, jsonx, lists, text
 from tidewell.operators import collections as C
-from tidewell.operators import folds, intervals, lookups, rules, sampling, snapshots
+from tidewell.operators import blocks, folds, intervals, lookups, rules, sampling, snapshots
 from tidewell.sources import cues, eventlog, pages
 from tidewell.sources.tables import table
 
@@ -149,11 +149,9 @@ def retry_delay(spark, d):
 @query("""WITH n AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS n FROM orders)
 SELECT o_orderkey, year(day) || '.' || month(day) || '.' || day(day) || CASE WHEN n = 1 THEN '' ELSE '.' || (n - 1) END AS version FROM n""")
 def calver_assign(spark, d):
-    from pyspark.sql import Window
-
     o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    n = F.row_number().over(Window.partitionBy("day").orderBy("o_orderkey"))
-    return o.withColumn("n", n).select("o_orderkey", clock.calver_text(F.col("day"), F.when(F.col("n") > 1, F.col("n") - 1)).alias("version"))
+    numbered = blocks.with_place(o, "day", ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536), "n")
+    return numbered.select("o_orderkey", clock.calver_text(F.col("day"), F.when(F.col("n") > 1, F.col("n") - 1)).alias("version"))
 
 
 @query("""WITH v AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 5 AS f FROM orders)
@@ -256,7 +254,7 @@ def ranked_pick(spark, d):
 slots AS (SELECT DISTINCT label, n, CAST(round_even(s * (n - 1) / 9.0, 0) AS BIGINT) AS i FROM (SELECT DISTINCT label, n FROM r), range(10) t(s) WHERE n > 10)
 SELECT label, vec_id FROM r WHERE n <= 10 OR EXISTS (SELECT 1 FROM slots WHERE slots.label = r.label AND slots.i = r.i)""")
 def even_sample(spark, d):
-    return sampling.even_sample(table(spark, d, "embeddings").select("label", "vec_id"), "label", ["vec_id"], 10)
+    return sampling.even_sample(table(spark, d, "embeddings").select("label", "vec_id"), "label", ["vec_id"], 10, F.floor(F.col("vec_id") / 4096))
 
 
 @query("""WITH a AS (SELECT source_id, pos, start_s FROM (SELECT DISTINCT * FROM transcript_segments WHERE text LIKE '%[%')), n AS (SELECT source_id FROM a GROUP BY source_id HAVING count(*) >= 8)
@@ -272,8 +270,8 @@ def min_count_fallback(spark, d):
 SELECT event_type, event_id, pinned, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, pinned, event_id) AS INT) AS index FROM s""")
 def pinned_merge(spark, d):
     e = table(spark, d, "events").select("event_type", "event_id", "ts", "value")
-    merged = sampling.merge_pinned(e.where("value >= 250").drop("value"), e.where("value < 25").drop("value"), "event_type", "ts", "event_id")
-    return merged.select("event_type", "event_id", "pinned", "index")
+    merged = sampling.merge_pinned(e.where("value >= 250").drop("value"), e.where("value < 25").drop("value"), "event_type", "ts", "event_id", F.unix_date(F.col("ts").cast("date")))
+    return merged.select("event_type", "event_id", "pinned", F.col("index").cast("int").alias("index"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
@@ -330,7 +328,7 @@ def latest_partition(spark, d):
 @query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id::VARCHAR END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM events")
 def forward_fill(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).alias("s"))
-    return snapshots.forward_fill(e, "user_id", ["event_id"], "s", "session").select("event_id", "user_id", "session")
+    return snapshots.forward_fill(e, "user_id", ["event_id"], "s", "session", F.floor(F.col("event_id") / 65536)).select("event_id", "user_id", "session")
 
 
 _CREDITS = "SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'available' WHEN 'F' THEN 'used' ELSE 'expired' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate + INTERVAL 30 DAY END AS expires FROM orders"
@@ -347,7 +345,7 @@ def expiry_order_next(spark, d):
 @query(f"WITH c AS ({_CREDITS}) SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY expires NULLS LAST, o_orderkey) AS INT) AS expiry_no FROM c")
 def expiry_order(spark, d):
     c = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate") + F.expr("interval 30 days")).alias("expires"))
-    return snapshots.expiry_order(c, "o_custkey", "expires", "o_orderkey").select("o_orderkey", "expiry_no")
+    return snapshots.expiry_order(c, "o_custkey", "expires", "o_orderkey").select("o_orderkey", F.col("expiry_no").cast("int").alias("expiry_no"))
 
 
 @query("""WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 4 AS f FROM events)

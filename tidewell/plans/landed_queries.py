@@ -75,7 +75,7 @@ def caption_cues(spark, d):
 
 
 @query("""WITH s AS (SELECT DISTINCT source_id, pos, start_s, end_s, text FROM transcript_segments WHERE source_id IS NOT NULL), t AS (SELECT *, floor(pos / 50) AS chunk, regexp_replace(text, '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g') AS tt FROM s)
-SELECT source_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS n, round(sum(round(coalesce(start_s, 0) + 30 * chunk, 3)), 2) AS start_sum, round(sum(round(coalesce(end_s, 0) + 30 * chunk, 3)), 2) AS end_sum, sum(length(tt)) AS chars FROM t WHERE tt <> '' GROUP BY ALL""")
+SELECT source_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS n, round(sum(round(coalesce(start_s, 0) + 30 * chunk, 3)), 3) AS start_sum, round(sum(round(coalesce(end_s, 0) + 30 * chunk, 3)), 3) AS end_sum, sum(length(tt)) AS chars FROM t WHERE tt <> '' GROUP BY ALL""")
 def response_segments(spark, d):
     """Transcription responses per chunk of a source, moved by the chunk's offset and put together again."""
     s = table(spark, d, "transcript_segments").select("source_id", "pos", "start_s", "end_s", "text").distinct().where("source_id is not null").withColumn("chunk", F.floor(F.col("pos") / 50))
@@ -85,7 +85,7 @@ def response_segments(spark, d):
     parts = cues.segments_of_responses(keyed, 30.0 * F.element_at(F.split("source_id", r"\|"), -1).cast("double"))
     key = F.split("source_id", r"\|")
     return parts.groupBy(key[0].alias("source_id"), F.element_at(key, -1).cast("bigint").alias("chunk")).agg(
-        F.count("*").alias("n"), F.round(F.sum("start_s"), 2).alias("start_sum"), F.round(F.sum("end_s"), 2).alias("end_sum"), F.sum(F.length("text")).cast("decimal(38,0)").alias("chars")
+        F.count("*").alias("n"), F.round(F.sum("start_s"), 3).alias("start_sum"), F.round(F.sum("end_s"), 3).alias("end_sum"), F.sum(F.length("text")).cast("decimal(38,0)").alias("chars")
     ).withColumn("chars", F.col("chars").cast("bigint"))
 
 
@@ -133,7 +133,7 @@ def sampling_counters(spark, d):
     """How many candidates there were, how many near-duplicates left, how many were selected, and what pinned rows leave of the budget."""
     e = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
     kept = folds.last_kept(e, "label", "vec_id", "embedding", 0.15)
-    selected = sampling.even_sample(kept, "label", ["vec_id"], 10).groupBy("label").agg(F.count("*").alias("selected"))
+    selected = sampling.even_sample(kept, "label", ["vec_id"], 10, F.floor(F.col("vec_id") / 4096)).groupBy("label").agg(F.count("*").alias("selected"))
     counts = e.groupBy("label").agg(F.count("*").alias("candidates")).join(kept.groupBy("label").agg(F.count("*").alias("kept")), "label").join(selected, "label")
     return counts.select("label", "candidates", "kept", "selected", sampling.remaining_budget(F.lit(10), F.least("kept", F.lit(4))).cast("bigint").alias("budget_left"))
 
