@@ -243,8 +243,11 @@ def _is_carried(who) -> bool:
     return _CARRY in who if isinstance(who, tuple) else who == _CARRY
 
 
-def _blocks_to_runs(max_gap_s: float | None, whole: bool):
-    """Runs of each block, those of inner chains settled; ``whole``: a block is a transcript, and nothing is handed on."""
+def _blocks_to_runs(max_gap_s: float | None, least: int, whole: bool):
+    """Runs of each block, those of inner chains settled; ``whole``: a block is a transcript, and nothing is handed on.
+
+    Settled runs of fewer than ``least`` cues are not written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -266,7 +269,7 @@ def _blocks_to_runs(max_gap_s: float | None, whole: bool):
             for i, chain in enumerate(chains):
                 edge = i in near
                 for r in chain.runs if edge or len(chain.runs) == 1 else agglomerate(chain.runs, max_gap_s):
-                    if edge or r.kind != "none":
+                    if edge or r.kind != "none" and r.n >= least:
                         rows.append((source, block, i, n, edge, label, r.kind, _pack(r.who), r.words if edge else None, r.text, r.first, r.last, r.n, r.weight, r.start, r.end))
             if len(rows) > 10_000:
                 yield _batch(rows, _NAMES, _TYPES)
@@ -337,19 +340,20 @@ def _merge_edges(max_gap_s: float | None):
     return run
 
 
-def collapse_runs(segments: DataFrame, speakers: DataFrame, max_gap_s: float | None = None) -> DataFrame:
-    """(source_id, kind, first_pos, last_pos, n_cues, start_s, end_s, duration_s, text): each run as one event, single cues too."""
-    runs = cut(C.block_rows(segments, speakers).mapInArrow(_blocks_to_runs(max_gap_s, whole=False), _OUT), "runs")
+def collapse_runs(segments: DataFrame, speakers: DataFrame, max_gap_s: float | None = None, least: int = 1) -> DataFrame:
+    """(source_id, kind, first_pos, last_pos, n_cues, start_s, end_s, duration_s, text): each run of ``least`` cues or more as one event; by default single cues too."""
+    runs = cut(C.block_rows(segments, speakers).mapInArrow(_blocks_to_runs(max_gap_s, least, whole=False), _OUT), "runs")
     edges = runs.where("edge").repartition("source_id").sortWithinPartitions("source_id", "block", "chain", "first_pos")
     settled = cut(edges.mapInArrow(_merge_edges(max_gap_s), _FINAL), "settled")
     inner, outer = runs.where("not edge").select(*_FINAL_NAMES), settled.where(F.col("kind") != _UNSETTLED)
     again = settled.where(F.col("kind") == _UNSETTLED).select("source_id").distinct()
     both = inner.unionByName(outer)
     if again.take(1):  # chains that reach far over edges: those transcripts as one block each
-        whole = C.block_rows(segments.join(again, "source_id", "left_semi"), speakers, block=None).mapInArrow(_blocks_to_runs(max_gap_s, whole=True), _OUT)
+        whole = C.block_rows(segments.join(again, "source_id", "left_semi"), speakers, block=None).mapInArrow(_blocks_to_runs(max_gap_s, least, whole=True), _OUT)
         both = both.join(again, "source_id", "left_anti").unionByName(whole.select(*_FINAL_NAMES))
+    both = both.where(F.col("n") >= least)
     return both.select("source_id", "kind", "first_pos", "last_pos", F.col("n").alias("n_cues"), "start_s", "end_s", F.round(F.col("end_s") - F.col("start_s"), 3).alias("duration_s"), "text")
 
 
 def repeated_runs(segments: DataFrame, speakers: DataFrame) -> DataFrame:
-    return collapse_runs(segments, speakers).where("n_cues > 1").select("source_id", "first_pos", "last_pos")
+    return collapse_runs(segments, speakers, least=2).select("source_id", "first_pos", "last_pos")
