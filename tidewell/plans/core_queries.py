@@ -448,8 +448,8 @@ def url_slug(spark, d):
     return b.select("row_id", F.when(text.is_url(url), text.url_host(url)).alias("host"), text.slug(F.regexp_replace(url, "^https?://", "")).alias("slug"), text.short_hash(url).alias("seed"))
 
 
-@query("""WITH s AS (SELECT DISTINCT source_id, pos, start_s, trim(text) AS t FROM transcript_segments WHERE trim(text) <> ''), r AS (SELECT source_id, pos, t, CAST(round_even(start_s, 0) AS BIGINT) AS x FROM s)
-SELECT source_id, string_agg('[' || CASE WHEN x IS NULL THEN 'unknown' WHEN x >= 3600 THEN printf('%d:%02d:%02d', x // 3600, (x % 3600) // 60, x % 60) ELSE printf('%02d:%02d', x // 60, x % 60) END || '] ' || t, chr(10) ORDER BY pos) AS markdown FROM r GROUP BY source_id""")
+@query("""WITH s AS (SELECT DISTINCT source_id, pos, start_s, trim(text) AS t FROM transcript_segments WHERE trim(text) <> ''), r AS (SELECT source_id, pos, CAST(floor(pos / 5000) AS BIGINT) AS part, t, CAST(round_even(start_s, 0) AS BIGINT) AS x FROM s)
+SELECT source_id, part, string_agg('[' || CASE WHEN x IS NULL THEN 'unknown' WHEN x >= 3600 THEN printf('%d:%02d:%02d', x // 3600, (x % 3600) // 60, x % 60) ELSE printf('%02d:%02d', x // 60, x % 60) END || '] ' || t, chr(10) ORDER BY pos) AS markdown FROM r GROUP BY source_id, part""")
 def transcript_render(spark, d):
     return cues.transcript_markdown(table(spark, d, "transcript_segments").distinct())
 

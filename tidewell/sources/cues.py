@@ -42,8 +42,14 @@ def segments_of_responses(responses: DataFrame, offset: Column) -> DataFrame:
     return rows.select("source_id", "pos", moved("start").alias("start_s"), moved("end").alias("end_s"), F.trim("s.text").alias("text"))
 
 
+#: Positions of a transcript that are written into one part.
+PART = 5_000
+
+
 def transcript_markdown(segments: DataFrame) -> DataFrame:
-    """(source_id, markdown): ``[MM:SS] text`` lines in order; blank texts are left out. One transcript is one value."""
+    """(source_id, part, markdown): ``[MM:SS] text`` lines in order; blank texts are left out. The parts of a transcript,
+    one after the other, are its file: no value holds more than ``PART`` positions."""
     line = F.concat(F.lit("["), clock.format_clock(F.col("start_s")), F.lit("] "), F.trim("text"))
-    rows = segments.where("trim(text) <> ''").select("source_id", F.struct("pos", line.alias("line")).alias("x"))
-    return rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("markdown"))
+    part = F.floor(F.col("pos") / PART).alias("part")
+    rows = segments.where("trim(text) <> ''").select("source_id", part, F.struct("pos", line.alias("line")).alias("x"))
+    return rows.groupBy("source_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("markdown"))
