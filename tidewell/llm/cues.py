@@ -20,7 +20,7 @@ from difflib import SequenceMatcher
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions of a transcript handled in one piece (memory bound; results do not depend on it).
@@ -240,6 +240,8 @@ _BEFORE_POINT, _OPENING = re.compile(r"\s+([,.!?…;:])"), re.compile(r"^[\s,;:>
 def _clean(raw: str) -> str:
     """Spoken words without fillers; empty if there are none."""
     clean = _BEFORE_POINT.sub(r"\1", " ".join(strip_fillers(raw).split()))
+    if clean[:1].isalnum():
+        return clean
     clean = _OPENING.sub("", clean)
     return clean if _WORD.search(clean) else ""
 
@@ -345,27 +347,29 @@ def block_rows(segments: DataFrame, speakers: DataFrame, block: int | None = 0)
     number = (F.lit(0) if block is None else F.floor(F.col("pos") / (block or BLOCK))).cast("bigint").alias("block")
     cues = segments.where("source_id is not null and pos is not null").select("source_id", number, "pos", "start_s", "end_s", "text")
     nothing = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
-    cue_rows = cues.select("source_id", "block", F.lit(1).alias("is_cue"), "pos", "start_s", "end_s", "text", *nothing(("speaker_no", "int"), ("full_name", "string"), ("role_name", "string"), ("diar_tag", "string")))
-    cast = cues.select("source_id", "block").distinct().join(speakers.select("source_id", "speaker_no", "full_name", "role_name", "diar_tag"), "source_id")
-    cast_rows = cast.select("source_id", "block", F.lit(0).alias("is_cue"), *nothing(("pos", "int"), ("start_s", "double"), ("end_s", "double"), ("text", "string")), "speaker_no", "full_name", "role_name", "diar_tag")
+    cue_rows = cues.select("source_id", "block", F.lit(1).alias("is_cue"), "pos", "start_s", "end_s", "text", *nothing(("n_blocks", "bigint"), ("speaker_no", "int"), ("full_name", "string"), ("role_name", "string"), ("diar_tag", "string")))
+    every = cues.select("source_id", "block").distinct().withColumn("n_blocks", F.count("*").over(Window.partitionBy("source_id")))  # one slim row per block
+    cast = every.join(speakers.select("source_id", "speaker_no", "full_name", "role_name", "diar_tag"), "source_id", "left")
+    cast_rows = cast.select("source_id", "block", F.lit(0).alias("is_cue"), *nothing(("pos", "int"), ("start_s", "double"), ("end_s", "double"), ("text", "string")), "n_blocks", "speaker_no", "full_name", "role_name", "diar_tag")
     return cue_rows.unionByName(cast_rows).repartition("source_id", "block").sortWithinPartitions("source_id", "block", "is_cue", "pos")
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[tuple]]]:
-    """(source, block, cues as (pos, start, end, Cue)) from sorted rows; rows equal in all columns count once."""
-    key, cast, cues, seen = None, [], [], set()
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, list[tuple]]]:
+    """(source, block, whether it is the only one, cues as (pos, start, end, Cue)) from sorted rows; rows equal in all columns count once."""
+    key, alone, cast, cues, seen = None, False, [], [], set()
 
     def done():
         known = Cast(cast)
-        return key[0], key[1], [(pos, start, end, parse_cue(text, known)) for pos, start, end, text in cues]
+        return key[0], key[1], alone, [(pos, start, end, parse_cue(text, known)) for pos, start, end, text in cues]
 
     for batch in batches:
-        for source, block, is_cue, pos, start, end, text, number, name, role, tag in zip(*(c.to_pylist() for c in batch.columns)):
+        for source, block, is_cue, pos, start, end, text, n_blocks, number, name, role, tag in zip(*(c.to_pylist() for c in batch.columns)):
             if (source, block) != key:
                 if key is not None and cues:
                     yield done()
-                key, cast, cues, seen = (source, block), [], [], set()
+                key, alone, cast, cues, seen = (source, block), False, [], [], set()
             if not is_cue:
+                alone = n_blocks == 1
                 if number is not None:
                     cast.append((number, name, role, tag))
                 continue

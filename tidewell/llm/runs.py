@@ -243,23 +243,23 @@ def _is_carried(who) -> bool:
     return _CARRY in who if isinstance(who, tuple) else who == _CARRY
 
 
-def _blocks_to_runs(max_gap_s: float | None, least: int, whole: bool):
-    """Runs of each block, those of inner chains settled; ``whole``: a block is a transcript, and nothing is handed on.
+def _blocks_to_runs(max_gap_s: float | None, least: int):
+    """Runs of each block, those of inner chains settled; of a transcript's only block nothing is handed on.
 
     Settled runs of fewer than ``least`` cues are not written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for source, block, cues in C.blocks(batches):
-            items, who = [], 0 if whole else _CARRY
+        for source, block, alone, cues in C.blocks(batches):
+            items, who = [], 0 if alone else _CARRY
             for pos, start, end, cue in cues:
                 item, who = _as_run(pos, start, end, cue, who)
                 items.append(item)
             chains = [c for c, _, _ in close((Chain([r]) for r in equal_runs(items, max_gap_s)), max_gap_s)]
             n = len(chains)
             near: set[int] = set()
-            if not whole:
+            if not alone:
                 seams = [0, n]
                 carried = max((i for i, c in enumerate(chains) if _is_carried(c.runs[0].who)), default=-1)
                 if block and carried >= 0:
@@ -342,14 +342,14 @@ def _merge_edges(max_gap_s: float | None):
 
 def collapse_runs(segments: DataFrame, speakers: DataFrame, max_gap_s: float | None = None, least: int = 1) -> DataFrame:
     """(source_id, kind, first_pos, last_pos, n_cues, start_s, end_s, duration_s, text): each run of ``least`` cues or more as one event; by default single cues too."""
-    runs = cut(C.block_rows(segments, speakers).mapInArrow(_blocks_to_runs(max_gap_s, least, whole=False), _OUT), "runs")
+    runs = cut(C.block_rows(segments, speakers).mapInArrow(_blocks_to_runs(max_gap_s, least), _OUT), "runs")
     edges = runs.where("edge").repartition("source_id").sortWithinPartitions("source_id", "block", "chain", "first_pos")
     settled = cut(edges.mapInArrow(_merge_edges(max_gap_s), _FINAL), "settled")
     inner, outer = runs.where("not edge").select(*_FINAL_NAMES), settled.where(F.col("kind") != _UNSETTLED)
     again = settled.where(F.col("kind") == _UNSETTLED).select("source_id").distinct()
     both = inner.unionByName(outer)
     if again.take(1):  # chains that reach far over edges: those transcripts as one block each
-        whole = C.block_rows(segments.join(again, "source_id", "left_semi"), speakers, block=None).mapInArrow(_blocks_to_runs(max_gap_s, least, whole=True), _OUT)
+        whole = C.block_rows(segments.join(again, "source_id", "left_semi"), speakers, block=None).mapInArrow(_blocks_to_runs(max_gap_s, least), _OUT)
         both = both.join(again, "source_id", "left_anti").unionByName(whole.select(*_FINAL_NAMES))
     both = both.where(F.col("n") >= least)
     return both.select("source_id", "kind", "first_pos", "last_pos", F.col("n").alias("n_cues"), "start_s", "end_s", F.round(F.col("end_s") - F.col("start_s"), 3).alias("duration_s"), "text")

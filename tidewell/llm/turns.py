@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import cues as C
 from tidewell.session import cut
 
-_PIECES = "source_id string, block bigint, seq int, n_seq int, block_label int, speaker_no int, first_pos int, last_pos int, start_s double, end_s double, text string"
+_PIECES = "source_id string, block bigint, seq int, n_seq int, settled boolean, block_label int, speaker_no int, first_pos int, last_pos int, start_s double, end_s double, text string"
 _TURNS = "source_id string, first_pos int, last_pos int, speaker_no int, start_s double, end_s double, pieces array<struct<block: bigint, seq: int>>"
 
 
@@ -35,10 +35,9 @@ def _bounds(pairs: list[tuple]) -> tuple:
     return min(starts, default=None), max(ends, default=None)
 
 
-def block_turns(cues: list[tuple]) -> tuple[list[list], int | None]:
-    """[speaker or None, first, last, times, texts] of each turn of a block, and its last label."""
+def block_turns(cues: list[tuple], now: int | None = None) -> tuple[list[list], int | None]:
+    """[speaker or None, first, last, times, texts] of each turn of a block, and its last label; ``now`` speaks before the first label."""
     turns: list[list] = []
-    now: int | None = None
     for pos, start, end, cue in cues:
         for number, text in cue.spans:
             now = number if number is not None else now
@@ -53,19 +52,19 @@ def block_turns(cues: list[tuple]) -> tuple[list[list], int | None]:
     return turns, now
 
 
-_PIECE_NAMES, _PIECE_TYPES = [c.split()[0] for c in _PIECES.split(", ")], (pa.string(), pa.int64(), *[pa.int32()] * 6, pa.float64(), pa.float64(), pa.string())
+_PIECE_NAMES, _PIECE_TYPES = [c.split()[0] for c in _PIECES.split(", ")], (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.int32()] * 4, pa.float64(), pa.float64(), pa.string())
 
 
 def _pieces(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_PIECE_NAMES), _PIECE_TYPES)], _PIECE_NAMES)
         rows: list[tuple] = []
-        for source, block, cues in C.blocks(batches):
-            turns, label = block_turns(cues)
+        for source, block, alone, cues in C.blocks(batches):
+            turns, label = block_turns(cues, 0 if alone else None)
             for i, (who, first, last, times, texts) in enumerate(turns):
-                rows.append((source, block, i, len(turns), label, who, first, last, *_bounds(times), " ".join(texts) if with_text else None))
-            if not turns and label is not None:  # labels without words still change the speaker
-                rows.append((source, block, 0, 0, label, None, None, None, None, None, None))
+                rows.append((source, block, i, len(turns), alone, label, who, first, last, *_bounds(times), " ".join(texts) if with_text else None))
+            if not turns and label is not None and not alone:  # labels without words still change the speaker
+                rows.append((source, block, 0, 0, False, label, None, None, None, None, None, None))
             if len(rows) > 5000:
                 yield as_batch(rows)
                 rows = []
@@ -119,7 +118,7 @@ def _join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _turn_parts(segments: DataFrame, speakers: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = cut(C.block_rows(segments, speakers).mapInArrow(_pieces(with_text), _PIECES), "turns")
-    edge = F.expr("seq <= 1 or seq + 1 = n_seq")  # a block's second turn may go on with the open one before it
+    edge = F.expr("not settled and (seq <= 1 or seq + 1 = n_seq)")  # a block's second turn may go on with the open one before it
     slim = parts.where(edge).drop("text").repartition("source_id").sortWithinPartitions("source_id", "block", "seq")
     joined = slim.mapInPandas(_join, _TURNS)
     return parts.where(~edge), joined, parts.where(edge & F.expr("n_seq > 0"))
