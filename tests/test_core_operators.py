@@ -257,3 +257,16 @@ def test_blocks_give_what_one_window_gives(spark):
         spans = known.withColumn("e", F.col("at") + F.col("i") % 5)
         assert intervals.union_length(spans, "k", "at", "e", width).exceptAll(intervals.union_length(spans, "k", "at", "e", 1e9)).count() == 0
     assert blocks.with_place(df.limit(0), "k", order, F.floor("at"), "n").count() == 0
+
+
+def test_landed_pages_of_every_form(spark, tmp_path):
+    """API pages, one object, a saved-session export as a bare list, and files that are no JSON."""
+    for name, raw in {"a": '{"data": [{"id": "1"}, {"id": "2"}], "meta": {"next_token": "t"}}', "b": '[{"id": "3"}]', "c": "broken", "d": '{"data": "none"}', "e": ""}.items():
+        (tmp_path / name).write_text(raw)
+    landed = pages.read_pages(spark, str(tmp_path))
+    assert [(r["pos"], r["item"], r["next_token"]) for r in pages.items_of_pages(landed).orderBy("pos").collect()] == [(0, '{"id":"1"}', "t"), (1, '{"id":"2"}', "t")]
+    assert [r["item"] for r in pages.items_of_pages(landed, scope="$").collect()] == ['{"id":"3"}']
+    out = str(tmp_path / "run" / "one")
+    pages.write_new(landed.select("page"), out)
+    with pytest.raises(Exception, match="(?i)exists"):
+        pages.write_new(landed.select("page"), out)
