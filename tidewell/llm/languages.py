@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewell.llm.byte_gru import STRIDE, ByteGRU, train
 from tidewell.llm.sample import hash_sample
@@ -31,6 +32,8 @@ MIN_WORDS, MIN_CHARS = 4, 7
 HIDDEN, STEPS, BATCH, LENGTH = 16, 130, 128, 40
 #: Labelled texts whose labels the first network agrees with train it further (about so many, by hashed row number).
 MAX_LABELLED, MORE_STEPS = 8_000, 120
+#: Longest text (in characters) that a network is trained on: with the rows above it bounds what comes to the driver.
+MAX_TRAINING_CHARS = 4_000
 #: Price of a switch of language between sentences and inside one, in log probability summed over steps.
 SWITCH, SWITCH_INSIDE = 22.0, 45.0
 #: Steps of a text that are read side by side with other texts; longer texts are read alone, in chunks that hand their
@@ -263,7 +266,7 @@ def fit(samples: DataFrame, labelled: DataFrame | None = None) -> LanguageModel:
     ``labelled`` rows (row_id, lang, text), some wrong, teach it more: of a sample of ``MAX_LABELLED`` by hashed row
     number those whose label the network confirms are added to the samples for a second round.
     """
-    rows = [(r["lang"], r["text"]) for r in samples.where("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").limit(MAX_SAMPLES).collect()]
+    rows = [(r["lang"], r["text"]) for r in samples.where("lang is not null").where(F.length("text") <= MAX_TRAINING_CHARS).select("lang", "text").orderBy("lang", "text").limit(MAX_SAMPLES).collect()]
     pairs = sorted((label_language(a), b) for a, b in rows if label_language(a) and readable(b)[0])
     languages = sorted({a for a, _ in pairs}) or ["en"]
     key = hash(tuple(pairs))
@@ -275,7 +278,7 @@ def fit(samples: DataFrame, labelled: DataFrame | None = None) -> LanguageModel:
     model = _trained[key]
     if labelled is None or not pairs:
         return model
-    more = hash_sample(labelled.select("row_id", "lang", "text"), "row_id", MAX_LABELLED).where("lang is not null and text is not null").select("lang", "text").collect()
+    more = hash_sample(labelled.select("row_id", "lang", "text"), "row_id", MAX_LABELLED).where("lang is not null").where(F.length("text") <= MAX_TRAINING_CHARS).select("lang", "text").collect()
     texts = sorted({(label_language(r["lang"]), r["text"]) for r in more if label_language(r["lang"]) in languages})
     confirmed = list(pairs)
     for (lang, text), found in zip(texts, model.label([t for _, t in texts])):

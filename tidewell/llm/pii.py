@@ -37,7 +37,7 @@ from tidewell.llm.sample import hash_sample
 from tidewell.session import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-FIT_TEXTS = 20_000
+FIT_TEXTS = 10_000
 MAX_SHIPPED_PARTS = 50_000
 #: Different partners a name part needs: a brand has one, a first or last name has several.
 MIN_PARTNERS = 2

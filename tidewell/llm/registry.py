@@ -54,6 +54,11 @@ def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse_runs(*_transcripts(spark, folder))
 
 
+def p5_close(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs whose cues follow each other within ten seconds."""
+    return runs.collapse_runs(*_transcripts(spark, folder), max_gap_s=10.0)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return turns.speaker_turns(*_transcripts(spark, folder)).select("source_id", "first_pos", "last_pos", "speaker_no")
 
@@ -82,7 +87,7 @@ def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages.page_labels(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_documents": p4_documents, "p4_passages": p4_passages, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_documents": p4_documents, "p4_passages": p4_passages, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_close": p5_close, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_labels": p10_labels}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
