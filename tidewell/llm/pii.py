@@ -52,6 +52,7 @@ _EMAIL = re.compile(rf"{_LOCAL}(?:@|\s?[\[(]\s?[Aa][Tt]\s?[\])]\s?|\sAT\s){_LABE
 _EMAIL_WORDS = re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:\s?(?:\.|dot)\s?{_LABEL})*\sdot\s[A-Za-z]{{2,24}}(?![\w@+])")
 _DIGITS = re.compile(r"(?<![\w.,/#@:(-])[+(]?\d(?:[\d().]|[\s\-/]{1,3}(?=[\d(]))*\d(?![\w@])")
 _SPELLED = re.compile(r"[\[(]\s?[Aa][Tt]\s?[\])]|\sAT\s")
+_ANY_DIGIT = re.compile(r"\d")
 _SEVEN = re.compile(r"\d[\d\s().\-/]{5,}\d")
 _CODED = re.compile(r"(?<![\w/#@.-])(?=[\w-]*\d)(?=[\w-]*[A-Za-z])[A-Za-z\d]+(?:-[A-Za-z\d]+){0,2}(?![\w@-])")
 _CODE_DIGITS = re.compile(r"\d{6}|\d{2}[A-Za-z]\d{2}")
@@ -113,6 +114,12 @@ STREETS = (
     "rue", "av", "bd", "boul", "impasse", "allée", "allee", "chemin", "place", "quai", "cours", "passage", "route", "calle", "c/", "plaza", "pza", "paseo", "camino", "carrera", "ronda", "travesía", "via", "piazza", "corso", "rua", "praça", "largo", "travessa",
     "straße", "strasse", "str.", "weg", "gasse", "platz", "damm", "ufer", "ring", "hain", "steig", "hof", "markt", "laan", "straat", "plein", "gracht", "am ", "im ", "an der ", "auf der ", "zum ", "zur ",
 )
+#: What a text needs for each pattern of streets before numbers.
+_LAST_SIGNS = (
+    ("calle", "c/", "avenida", "avda", "av", "plaza", "pza", "paseo", "camino", "carrera", "ronda", "travesía", "via", "viale", "piazza", "corso", "rua", "praça", "largo", "travessa"),
+    ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "ufer", "ring", "hain", "steig", "hof", "markt", "laan", "straat", "plein", "gracht"),
+    ("am", "im", "an der", "auf der", "zum", "zur"),
+)
 _streets = ahocorasick.Automaton()
 for _s in STREETS:
     _streets.add_word(_s, _s)
@@ -259,7 +266,7 @@ def candidates(text: str, names: Gazetteer) -> list[Candidate]:
     if " at " in low and " dot " in low:
         for m in _EMAIL_WORDS.finditer(text):
             add(*m.span(), "email")
-    if any(c.isdigit() for c in text):
+    if _ANY_DIGIT.search(text):
         if _CODE_DIGITS.search(text):
             for m in _CODED.finditer(text):
                 if _CODE_DIGITS.search(m.group()) and not m.group().isdigit():
@@ -271,9 +278,10 @@ def candidates(text: str, names: Gazetteer) -> list[Candidate]:
                     add(*m.span(), "number")
         typed = next(_streets.iter(low), None) is not None
         if typed:
-            for p in _NUMBER_LAST:
-                for m in p.finditer(text):
-                    add(*m.span(), "address")
+            for p, sign in zip(_NUMBER_LAST, _LAST_SIGNS):
+                if any(s in low for s in sign):
+                    for m in p.finditer(text):
+                        add(*m.span(), "address")
         for house in _HOUSE.finditer(text) if typed else ():
             for p in _NUMBER_FIRST:
                 m = p.match(text, house.start())
