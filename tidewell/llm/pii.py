@@ -386,6 +386,10 @@ class Model:
         c.kind = max((*FAMILIES[c.family], NONE), key=every.__getitem__)
         return every[c.kind], c
 
+    def settled(self, found: list[dict]) -> list[Candidate]:
+        """Items among the written proposals of a text."""
+        return settle([self.decide(Candidate(c["s"], c["e"], c["family"], c["text"]), c["f"]) for c in found])
+
     def items(self, text: str | None, names: Gazetteer) -> list[Candidate]:
         if not text or text.isspace():
             return []
@@ -442,22 +446,27 @@ _PROPOSED = "row_id bigint, c array<struct<s:int,e:int,family:string,text:string
 _C = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("family", pa.string()), ("text", pa.string()), ("votes", pa.string()), ("f", pa.list_(pa.int32()))]))
 
 
-def propose(posts: DataFrame, shipped) -> DataFrame:
-    """(row_id, c): the proposals of every text that has any; written once, read for the counts, the fit and the decision."""
+def propose(posts: DataFrame, shipped, texts: bool = False) -> DataFrame:
+    """(row_id, c): the proposals of every text that has any; written once, read for the counts, the fit and the decision.
+
+    With ``texts`` all rows are written, with their texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = _gazetteers(shipped)
         for batch in batches:
-            ids, found = [], []
+            ids, found, kept = [], [], []
             for row_id, text, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if text and not text.isspace():
-                    got = candidates(text, pick(own))
-                    if got:
-                        ids.append(row_id)
-                        found.append([{"s": c.start, "e": c.end, "family": c.family, "text": c.text, "votes": c.pattern, "f": features(c)} for c in got])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, _C)], ["row_id", "c"])
+                got = candidates(text, pick(own)) if text and not text.isspace() else []
+                if got or texts:
+                    ids.append(row_id)
+                    kept.append(text)
+                    found.append([{"s": c.start, "e": c.end, "family": c.family, "text": c.text, "votes": c.pattern, "f": features(c)} for c in got])
+            arrays = [pa.array(ids, pa.int64()), pa.array(found, _C), *([pa.array(kept, pa.string())] if texts else [])]
+            yield pa.RecordBatch.from_arrays(arrays, ["row_id", "c", *(["body"] if texts else [])])
 
-    return cut(posts.select("row_id", "text", "own_parts").mapInArrow(run, _PROPOSED), "proposals")
+    schema = _PROPOSED + (", body string" if texts else "")
+    return cut(posts.select("row_id", "text", "own_parts").mapInArrow(run, schema), "proposals")
 
 
 def fit_proposals(proposed: DataFrame) -> Model:
@@ -465,7 +474,7 @@ def fit_proposals(proposed: DataFrame) -> Model:
     each = proposed.select("row_id", F.explode("c").alias("c"))
     patterns = {(r["family"], r["votes"]): r["count"] for r in each.groupBy("c.family", "c.votes").count().collect()}  # at most families x 3^5
     table, belief = fit_reliabilities(patterns)
-    sample = hash_sample(proposed, "row_id", FIT_TEXTS).select("row_id", F.explode("c").alias("c")).select("row_id", "c.s", "c.e", "c.family", "c.votes", "c.f").collect()
+    sample = hash_sample(proposed.where("size(c) > 0").select("row_id", "c"), "row_id", FIT_TEXTS).select("row_id", F.explode("c").alias("c")).select("row_id", "c.s", "c.e", "c.family", "c.votes", "c.f").collect()
     sample.sort(key=lambda r: (r["row_id"] is None, r["row_id"] or 0, r["s"], r["e"], r["family"]))
     return Model(train_classifier([r["f"] for r in sample], [belief[(r["family"], r["votes"])] for r in sample]), table, belief)
 
@@ -480,7 +489,7 @@ def find_items(bookmarks: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for row_id, found in zip(*(c.to_pylist() for c in batch.columns)):
-                kept = settle([fitted.decide(Candidate(c["s"], c["e"], c["family"], c["text"]), c["f"]) for c in found])
+                kept = fitted.settled(found)
                 rows += [(row_id, *x) for x in dict.fromkeys((c.kind, c.text) for c in kept)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["row_id", "kind", "pii_text"])
 
@@ -500,15 +509,14 @@ def redact(text: str | None, items: list[Candidate]) -> str | None:
 
 def redact_texts(bookmarks: DataFrame) -> DataFrame:
     """(row_id, text) of all rows, items replaced; null texts stay null."""
-    posts, shipped = with_gazetteer(bookmarks)
-    model = bookmarks.sparkSession.sparkContext.broadcast(fit_proposals(propose(posts, shipped)))
+    proposed = propose(*with_gazetteer(bookmarks), texts=True)
+    model = bookmarks.sparkSession.sparkContext.broadcast(fit_proposals(proposed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted: Model = model.value
-        pick = _gazetteers(shipped)
         for batch in batches:
-            ids, texts, own = (c.to_pylist() for c in batch.columns)
-            clean = [redact(t, fitted.items(t, pick(o))) for t, o in zip(texts, own)]
+            ids, found, texts = (c.to_pylist() for c in batch.columns)
+            clean = [redact(t, fitted.settled(c)) if c else t for t, c in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(clean, pa.string())], ["row_id", "text"])
 
-    return posts.select("row_id", "text", "own_parts").mapInArrow(run, "row_id bigint, text string")
+    return proposed.select("row_id", "c", "body").mapInArrow(run, "row_id bigint, text string")
