@@ -50,3 +50,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table comes in so few pieces that less than half of the cores would work.
+
+    For stages whose time goes into Python on every row. A table of many pieces, as any large one is, stays as it is, without
+    a shuffle; the result is the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
