@@ -270,3 +270,14 @@ def test_landed_pages_of_every_form(spark, tmp_path):
     pages.write_new(landed.select("page"), out)
     with pytest.raises(Exception, match="(?i)exists"):
         pages.write_new(landed.select("page"), out)
+
+
+def test_small_tables_are_spread_and_keep_their_rows(spark, tmp_path):
+    one = str(tmp_path / "one")
+    spark.range(100).coalesce(1).write.parquet(one)
+    df = spark.read.parquet(one)
+    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and session.spread(df).count() == 100
+    many = str(tmp_path / "many")
+    spark.range(100).repartition(8).write.parquet(many)
+    kept = spark.read.parquet(many)
+    assert session.spread(kept) is kept

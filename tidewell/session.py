@@ -52,11 +52,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that keep one core busy: Spark makes no smaller pieces of files.
+PIECE_BYTES = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where a table comes in so few pieces that less than half of the cores would work.
+    """The rows over all cores, where a table is so small and in so few files that less than half of the cores would work.
 
-    For stages whose time goes into Python on every row. A table of many pieces, as any large one is, stays as it is, without
-    a shuffle; the result is the same either way.
+    For stages whose time goes into Python on every row. Larger tables stay as they are, without a shuffle; the result is
+    the same either way. Only sizes and names of files are looked at, nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if 2 * size >= cores * PIECE_BYTES or 2 * len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
