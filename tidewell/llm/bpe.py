@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidewell.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public split pattern of this vocabulary.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -165,7 +167,7 @@ def encode_corpus(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             ids = pa.array([encode_one(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {id_type}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(encode, f"`{id_col}` {id_type}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", count_col: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -180,4 +182,4 @@ def count_tokens(df: DataFrame, text_col: str = "text", count_col: str = "n_toke
             counts = pa.array([count_one(t) for t in batch.column(len(kept)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], [*kept, count_col])
 
-    return df.select(*[f"`{c}`" for c in kept], f"`{text_col}`").mapInArrow(count, schema)
+    return spread(df.select(*[f"`{c}`" for c in kept], f"`{text_col}`")).mapInArrow(count, schema)

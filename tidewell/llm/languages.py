@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.byte_gru import STRIDE, ByteGRU, train
 from tidewell.llm.sample import hash_sample
+from tidewell.session import spread
 
 MAX_SAMPLES = 20_000
 MIN_WORDS, MIN_CHARS = 4, 7
@@ -304,7 +305,7 @@ def _apply(df: DataFrame, columns: tuple[str, ...], model: LanguageModel, make,
             rows = [r for values, found in zip(zip(*given), fitted.label(given[-1])) for r in make(values, found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return spread(df.select(*columns)).mapInArrow(run, schema)
 
 
 def document_languages(bookmarks: DataFrame, samples: DataFrame, model: LanguageModel | None = None) -> DataFrame:

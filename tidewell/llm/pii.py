@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.sample import hash_sample
-from tidewell.session import cut
+from tidewell.session import cut, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 FIT_TEXTS = 10_000
@@ -431,7 +431,7 @@ def with_gazetteer(bookmarks: DataFrame, most: int = MAX_SHIPPED_PARTS) -> tuple
     if len(known) > most:
         return with_own_parts(posts, cut(parts, "parts")), None
     sets = tuple({r["part"] for r in known if r["role"] == role} for role in "FL")
-    return posts.withColumn("own_parts", F.lit(None).cast("array<string>")), bookmarks.sparkSession.sparkContext.broadcast(sets)
+    return spread(posts).withColumn("own_parts", F.lit(None).cast("array<string>")), bookmarks.sparkSession.sparkContext.broadcast(sets)
 
 
 def _gazetteers(shipped):

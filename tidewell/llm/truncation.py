@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import cut
+from tidewell.session import cut, spread
 
 #: Share of ends under which a tail is a cut: where the baselines start, and the limits of what they may become.
 END_SHARE, LEAST_SHARE, MOST_SHARE = 0.25, 0.1, 0.4
@@ -424,7 +424,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inspect_values(bookmarks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The ends of all values, and (key, ends, more): how often an end and how often more follows in the corpus."""
-    read = cut(_values(bookmarks).mapInArrow(_read, _TAILS), "ends")  # written once, read for the ends, lengths, baselines and counts
+    read = cut(spread(_values(bookmarks)).mapInArrow(_read, _TAILS), "ends")  # written once, read for the ends, lengths, baselines and counts
     counts = read.where("ends is not null").groupBy(F.col("key1").alias("key")).agg(F.sum("ends").alias("ends"), F.sum("more").alias("more"))
     return read.where("ends is null").drop("ends", "more"), counts
 
