@@ -306,8 +306,8 @@ def _with_marks(t: str, cast: Cast, sounds: list[str]) -> str:
         t = f"{_MARK}{label[1]}{_MARK} {t[label[0]:]}"
         hits = cast.hits(t) if ":" in t else []
     out, at = [], 0
-    for start, end, number in hits:  # the longest known label before the colon comes first
-        if start >= at and (behind := _BEHIND_INNER.match(t, end)) and (before := _BEFORE_INNER.search(t, 0, start)):
+    for start, end, number in hits:  # the longest known label before the colon comes first; blanks are single, so what precedes it is short
+        if start >= at and (behind := _BEHIND_INNER.match(t, end)) and (before := _BEFORE_INNER.search(t, max(0, start - 8), start)):
             out += [t[at : max(at, before.start() + 1)], f" {_MARK}{number}{_MARK} "]
             at = behind.end()
     return "".join([*out, t[at:]]) if out else t
