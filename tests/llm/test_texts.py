@@ -256,6 +256,54 @@ def test_baum_welch_recovers_a_chain():
     assert np.abs(fitted.move - move).max() < 0.12 and np.abs(fitted.emit[5] - emit[5]).max() < 0.12 and np.allclose(fitted.move.sum(axis=1), 1)
 
 
+def plain_baum_welch(sequences, rounds, prior):
+    """Unit by unit over whole sequences."""
+    guess = spam_pages._first_guess()
+    start, move, emit = guess
+    for _ in range(rounds):
+        begins, moves, counts = prior * guess[0], prior * guess[1], [prior * e for e in guess[2]]
+        for seen in sequences:
+            own = [np.prod([e[:, c] for e, c in zip(emit, x)], axis=0) for x in seen]
+            ahead, behind = [start * own[0]], [np.ones(len(start))]
+            for x in own[1:]:
+                ahead.append(ahead[-1] / ahead[-1].sum() @ move * x)
+            for x in own[:0:-1]:
+                behind.append(move @ (x * behind[-1]) / behind[-1].sum())
+            behind.reverse()
+            for i, x in enumerate(seen):
+                state = ahead[i] * behind[i] / (ahead[i] @ behind[i])
+                begins = begins + state * (i == 0)
+                for f, c in enumerate(x):
+                    counts[f][:, c] += state
+                if i:
+                    step = ahead[i - 1][:, None] * move * own[i] * behind[i]
+                    moves = moves + step / step.sum()
+        start, move, emit = begins / begins.sum(), moves / moves.sum(axis=1, keepdims=True), [c / c.sum(axis=1, keepdims=True) for c in counts]
+    return start, move, emit
+
+
+def test_long_sequences_fit_as_a_whole():
+    rng = np.random.default_rng(9)
+    sizes = [1, 2, 30, 99, 100, 101, 200, 201, 2_350]
+    sequences = [[tuple(int(rng.integers(len(e[0]))) for e in spam_pages.EMISSION) for _ in range(n)] for n in sizes]
+    sequences += [sequences[2]] * 3
+    fitted, (start, move, emit) = spam_pages.baum_welch(sequences, rounds=3, prior=5.0), plain_baum_welch(sequences, 3, 5.0)
+    assert np.allclose(fitted.start, start, atol=1e-6) and np.allclose(fitted.move, move, atol=1e-6) and all(np.allclose(a, b, atol=1e-6) for a, b in zip(fitted.emit, emit))
+
+
+def test_pages_are_fitted_on_all_documents(spark):
+    rng = random.Random(10)
+    kinds = [PROSE, "#clips #tools #credits #online ", "https://host.example/a/b\n", "caption tool, clip maker, free credits\n", "2026-01-02T10:00:00Z INFO cache.feed stale=1\n"]
+    texts = ["".join(rng.choice(kinds) for _ in range(rng.randrange(1, 4))) for _ in range(2_600)] + ["\n".join(rng.choice(kinds).strip() for _ in range(2_300)), None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    read = [spam_pages.read_units(t) for t in texts if t and not t.isspace()]
+    whole = spam_pages.baum_welch([[spam_pages.observe(u, hot) for u in found] for found, hot in read])
+    fitted = spam_pages.fit(df)
+    assert np.allclose(fitted.start, whole.start, atol=1e-6) and np.allclose(fitted.move, whole.move, atol=1e-6) and all(np.allclose(a, b, atol=1e-6) for a, b in zip(fitted.emit, whole.emit))
+    labels = {r["doc_id"]: r["prose_share"] for r in spam_pages.page_labels(df).collect()}
+    assert labels == {i: round(whole.shares(t)[0], 4) for i, t in enumerate(texts)}
+
+
 def test_the_short_cut_is_the_best_path(page_model):
     rng = np.random.default_rng(6)
     for _ in range(200):
@@ -265,6 +313,11 @@ def test_the_short_cut_is_the_best_path(page_model):
         assert page_model.path(seen) == [spam_pages.LABEL[s] for s in best[1]]
 
 
+def test_records():
+    assert all(map(spam_pages.is_record, ["at 2026-01-02T10:00 on", "a b=c", " \t{ \"k\"", "$ ls", "  --all", "-v", "```", "an ERROR here", "x " + "aB3+" * 15 + "=="]))
+    assert not any(map(spam_pages.is_record, ["", " ", "2026-01-02 at 10", "a = b", "see {\"k\"}", "- item", "a -v", "INFORMED", "an error", "aB3+" * 14, "." + "aB34" * 16]))
+
+
 PROSE = "The old parser skips the index behind a proxy. A new feed keeps half of the frames, because the cache is warm. Their log drops the cursor for every release. "
 
 

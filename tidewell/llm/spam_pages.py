@@ -2,13 +2,14 @@
 
 A document is read once: lines (long ones at sentence ends, and what has none every ``UNIT_WORDS`` words) become units,
 each with its words and eight coarse features. A hidden Markov model labels the units as prose (sentences, or records as in
-logs), link list, tag list or menu (Viterbi). Its start, transition and emission probabilities are fitted by Baum-Welch on the unit sequences of about
-``FIT_PAGES`` documents (windows of ``FIT_UNITS`` units; only classes of features come to the driver), from first guesses
-that also serve as a weak prior, so the states keep their meaning. A document is flagged if the units that are not prose
-hold more than ``MIN_SHARE`` of its words; a link counts as many words as it has parts, in scripts without blanks two
-letters count as a word.
+logs), link list, tag list or menu (Viterbi). Its start, transition and emission probabilities are fitted by Baum-Welch on the unit sequences of all
+documents, whole, from first guesses that also serve as a weak prior, so the states keep their meaning. A document is
+flagged if the units that are not prose hold more than ``MIN_SHARE`` of its words; a link counts as many words as it has
+parts, in scripts without blanks two letters count as a word.
 
-Labelling is one narrow stage over all documents, whole texts: no shuffle, no state between documents.
+Texts are read in one narrow stage and written as two bytes and a number of words per unit. Each round of Baum-Welch is a
+narrow stage over these, of which one row of sums per task comes to the driver; labelling is another: no shuffle, no state
+between documents.
 
 Defined results: null, empty and blank texts are not flagged; repeated rows give repeated results; a document of
 one unit is judged by that unit; very long texts are labelled in linear time; without documents the first guesses hold.
@@ -16,17 +17,17 @@ one unit is judged by that unit; very long texts are labelled in linear time; wi
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewell.llm.sample import hash_sample
-from tidewell.session import spread
+from tidewell.session import cut, spread
 
 STATES = ("prose", "link_list", "tag_list", "menu")
 #: Hidden states, and the label of each: prose is written by people in sentences or by machines in records.
@@ -36,8 +37,10 @@ MIN_SHARE = 0.5
 UNIT_WORDS = 24
 #: First guess of the probability that the next unit is of the same state.
 STAY = 0.9
-#: Documents and units of a window that fit the model, rounds of Baum-Welch, and how many units the first guesses weigh.
-FIT_PAGES, FIT_UNITS, FIT_ROUNDS, PRIOR = 2_000, 100, 10, 200.0
+#: Rounds of Baum-Welch, and how many units the first guesses weigh.
+FIT_ROUNDS, PRIOR = 10, 200.0
+#: Units of a piece, pieces of a block, and bytes of different sequences that are worked on at once; results do not depend on them.
+FIT_UNITS, FIT_BLOCK, FIT_BYTES = 100, 512, 1 << 20
 #: A bigram of a document is hot from this count and this share of its words on.
 HOT_COUNT, HOT_SHARE = 5, 0.02
 
@@ -57,9 +60,11 @@ _LINK = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+|\b(?:[\w-]+\.)+[a-
 _TAG = re.compile(r"#[^\s#]+")
 _STOPS, _BEHIND_STOP = frozenset(".!?。！？…:;"), "'\"”’)] \t\r\f\v\xa0\u3000"
 _CUT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_RECORD = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*[{\[]\s*\"|\b\w+=\w+|^\s*(?:\$|--?\w|```)|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE)\b|(?<![\w/.#-])[A-Za-z0-9+/]{60,}={0,2}(?![\w/.-])")
-#: What every record has: a digit before a hyphen, a sign of data or code, a level in capitals, or a very long word.
-_MAY_RECORD = re.compile(r"[=$`{\[]|\d-|--|[A-Z]{4}|\s-\w|^-|[A-Za-z0-9+/]{60}")
+_STAMP = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
+_OPENING = re.compile(r"[{\[]\s*\"|\$|--?\w|```")
+_FIELD = re.compile(r"\w=\w")
+_LEVELS, _LEVEL = ("INFO", "WARN", "ERROR", "DEBUG", "TRACE"), re.compile(r"\b(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE)\b")
+_BLOB = re.compile(r"(?<![\w/.#-])[A-Za-z0-9+/]{60,}={0,2}(?![\w/.-])")
 _SEP = re.compile(r"[,|;·•/>#\\»~]|\s-\s|\$")
 _KANA = re.compile(r"[぀-ゟ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -125,6 +130,20 @@ def read_units(text: str) -> tuple[list[Unit], set[tuple[str, str]]]:
     return out, {p for p, c in counts.items() if c >= least and not (p[0] in FUNCTION_WORDS and p[1] in FUNCTION_WORDS)}
 
 
+def is_record(plain: str) -> bool:
+    """Whether a line has a time stamp, opens like data or code, has a field with a value, a level, or encoded bytes.
+
+    Signs without which a pattern cannot match are looked for first.
+    """
+    return bool(
+        "=" in plain and _FIELD.search(plain)
+        or "-" in plain and _STAMP.search(plain)
+        or (opening := plain.lstrip())[:1] in "{[$-`" and _OPENING.match(opening)
+        or any(map(plain.__contains__, _LEVELS)) and _LEVEL.search(plain)
+        or len(plain) >= 60 and max(map(len, plain.split()), default=0) >= 60 and _BLOB.search(plain)
+    )
+
+
 def observe(unit: Unit, hot: set[tuple[str, str]]) -> tuple[int, ...]:
     """(links, function words, sentence end, repetition, separators, hot phrases, tags, record) as small classes."""
     text, plain, words = unit.text, unit.plain, unit.words
@@ -147,7 +166,7 @@ def observe(unit: Unit, hot: set[tuple[str, str]]) -> tuple[int, ...]:
         0 if separators < 0.1 else 1 if separators < 0.22 else 2,
         0 if heat < 0.15 else 1 if heat < 0.4 else 2,
         0 if tags < 0.3 * n else 1,
-        1 if _MAY_RECORD.search(plain) and _RECORD.search(plain) else 0,
+        1 if is_record(plain) else 0,
     )
 
 
@@ -163,6 +182,10 @@ EMISSION = (
     ((0.97, 0.03), (0.1, 0.9), (0.9995, 0.0005), (0.9995, 0.0005), (0.9995, 0.0005)),  # log lines, data, code: written by machines, not piled up
 )
 
+#: All combinations of classes, and the number of each.
+KINDS = tuple(itertools.product(*(range(len(e[0])) for e in EMISSION)))
+NUMBER = {seen: i for i, seen in enumerate(KINDS)}
+
 
 def _first_guess() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     k = len(HIDDEN)
@@ -223,111 +246,212 @@ class PageModel:
         if not text or text.isspace():
             return [1.0, 0.0, 0.0, 0.0]
         found, hot = read_units(text)
-        sizes = [0] * len(STATES)
-        for unit, state in zip(found, self.path([observe(u, hot) for u in found])):
-            sizes[state] += unit.n_words
-        total = sum(sizes)
-        return [s / total for s in sizes] if total else [1.0, 0.0, 0.0, 0.0]
+        return _by_state(self.path([observe(u, hot) for u in found]), [u.n_words for u in found])
+
+
+def _by_state(path: list[int], words: list[int]) -> list[float]:
+    sizes = [0] * len(STATES)
+    for state, n in zip(path, words):
+        sizes[state] += n
+    total = sum(sizes)
+    return [s / total for s in sizes] if total else [1.0, 0.0, 0.0, 0.0]
 
 
 def baum_welch(sequences: list[list[tuple[int, ...]]], rounds: int = FIT_ROUNDS, prior: float = PRIOR) -> PageModel:
     """Maximum a posteriori fit of all probabilities; the first guesses count like ``prior`` units."""
+    coded = Counter(_code(x) for x in sequences if x)
+    return _climb(lambda *now: _expected(coded, *now), rounds, prior)
+
+
+def _climb(expected: Callable[..., np.ndarray], rounds: int, prior: float) -> PageModel:
+    """Rounds from the first guesses; ``expected`` sums up all sequences under the probabilities of a round.
+
+    What is kept of the probabilities is so short that the order in which tasks were added does not show.
+    """
     start, move, emit = _first_guess()
-    sequences = [x for x in sequences if x]
-    if not sequences:
-        return PageModel(start, move, emit)
-    guess = start.copy(), move.copy(), [e.copy() for e in emit]
-    kinds = {seen: i for i, seen in enumerate(dict.fromkeys(s for x in sequences for s in x))}
-    classes = np.array(list(kinds))  # (kinds, features)
-    k = len(HIDDEN)
-    blocks = []
-    sequences = sorted(sequences, key=len)
-    for first in range(0, len(sequences), 256):  # of like lengths, so little is padded
-        part = sequences[first : first + 256]
-        at, real = np.zeros((len(part), len(part[-1])), dtype=np.int64), np.zeros((len(part), len(part[-1])), dtype=bool)
-        for i, x in enumerate(part):
-            at[i, : len(x)] = [kinds[s] for s in x]
-            real[i, : len(x)] = True
-        blocks.append((at, real))
+    k = len(start)
+    ends = np.cumsum([k, k * k, *(e.size for e in emit)])[:-1]
+    guess = np.concatenate([start, move.ravel(), *(e.ravel() for e in emit)])
     for _ in range(rounds):
-        own = np.ones((len(kinds), k))
-        for f, e in enumerate(emit):
-            own *= e[:, classes[:, f]].T
-        weight, moves, begins = np.zeros((len(kinds), k)), np.zeros((k, k)), np.zeros(k)
-        for at, real in blocks:
-            _expect(at, real, own, start, move, weight, moves, begins)
-        start = begins + prior * guess[0]
-        start /= start.sum()
-        move = moves + prior * guess[1]
-        move /= move.sum(axis=1, keepdims=True)
-        for f in range(len(emit)):
-            counts = np.stack([np.bincount(classes[:, f], weight[:, s], emit[f].shape[1]) for s in range(k)]) + prior * guess[2][f]
-            emit[f] = counts / counts.sum(axis=1, keepdims=True)
+        counts = expected(start, move, emit)
+        if not counts.any():
+            break
+        start, move, *emit = [_shares(x.reshape(-1, k) if i < 2 else x.reshape(k, -1)) for i, x in enumerate(np.split(counts + prior * guess, ends))]
+        start = start[0]
     return PageModel(start, move, emit)
 
 
-def _expect(at, real, own, start, move, weight, moves, begins) -> None:
-    """Adds the expected states, steps and starts of a block of sequences (forward and backward pass)."""
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return (counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+
+
+def _code(seen: list[tuple[int, ...]]) -> bytes:
+    return np.array([NUMBER[x] for x in seen], dtype="<u2").tobytes()
+
+
+def _expected(sequences: dict[bytes, int], start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]) -> np.ndarray:
+    """Expected starts, steps and classes by state over coded sequences, each as often as it occurs, one behind the other.
+
+    Long sequences are taken in pieces, to each of which the states before and behind it are carried, so the sums are those
+    of the whole sequence.
+    """
+    k, classes = len(start), np.array(KINDS)
+    own = np.ones((len(KINDS), k))
+    for f, e in enumerate(emit):
+        own *= e[:, classes[:, f]].T
+    pieces, long, nothing, anything = [], [], np.zeros(k), np.ones(k)
+    for codes, times in sequences.items():
+        units = np.frombuffer(codes, dtype="<u2")
+        if len(units) <= FIT_UNITS:
+            pieces.append((units, times, nothing, anything))
+        else:
+            long += [(units[i : i + FIT_UNITS], times, i == 0) for i in range(0, len(units), FIT_UNITS)]
+    if long:
+        parts, times, first = zip(*long)
+        pieces += zip(parts, times, *_carry(parts, first, own, start, move))
+    pieces.sort(key=lambda x: len(x[0]))  # of like lengths, so little is padded
+    weight, moves, begins = np.zeros((len(KINDS), k)), np.zeros((k, k)), np.zeros(k)
+    for first in range(0, len(pieces), FIT_BLOCK):
+        parts, times, before, behind = zip(*pieces[first : first + FIT_BLOCK])
+        _expect(*_padded(parts), np.array(times, dtype=float), np.array(before), np.array(behind), own, start, move, weight, moves, begins)
+    counts = [np.stack([np.bincount(classes[:, f], weight[:, s], e.shape[1]) for s in range(k)]) for f, e in enumerate(emit)]
+    return np.concatenate([begins, moves.ravel(), *(c.ravel() for c in counts)])
+
+
+def _padded(parts) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in parts])
+    real = np.arange(sizes.max()) < sizes[:, None]
+    at = np.zeros(real.shape, dtype=np.int64)
+    at[real] = np.concatenate(parts)
+    return at, real
+
+
+def _carry(parts, first, own, start, move) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece of sequences one behind the other: the states before it, given all before (zeros: it is the first one of
+    a sequence), and how well each last state of it agrees with all behind."""
+    k, n = len(start), len(parts)
+    across = np.empty((n, k, k))  # from the state before a piece to its last one
+    for at_first in range(0, n, FIT_BLOCK):
+        block = slice(at_first, at_first + FIT_BLOCK)
+        at, real = _padded(parts[block])
+        now = np.where(np.array(first[block])[:, None, None], start, move)
+        for i in range(at.shape[1]):
+            step = (now @ move if i else now) * own[at[:, i]][:, None]
+            now = np.where(real[:, i, None, None], step / step.max(axis=(1, 2), keepdims=True), now)
+        across[block] = now
+    before, behind = np.zeros((n, k)), np.ones((n, k))
+    for i in range(1, n):
+        if not first[i]:
+            now = across[i - 1, 0] if first[i - 1] else before[i - 1] @ across[i - 1]
+            before[i] = now / now.sum()
+    for i in range(n - 2, -1, -1):
+        if not first[i + 1]:
+            now = across[i + 1] @ behind[i + 1]
+            behind[i] = now / now.max()
+    return before, behind
+
+
+def _expect(at, real, times, before, behind, own, start, move, weight, moves, begins) -> None:
+    """Adds the expected states, steps and starts of a block of pieces (forward and backward pass)."""
     b, t = at.shape
     seen = np.where(real[..., None], own[at], 1.0)
+    opens = ~before.any(axis=1)
     ahead, scale = np.empty((b, t, len(start))), np.ones((b, t))
-    now = start * seen[:, 0]
+    now = np.where(opens[:, None], start, before @ move) * seen[:, 0]
     for i in range(t):
         if i:
             now = np.where(real[:, i, None], (ahead[:, i - 1] @ move) * seen[:, i], ahead[:, i - 1])
         scale[:, i] = now.sum(axis=1)
         ahead[:, i] = now / scale[:, i, None]
     state = np.empty_like(ahead)
-    behind = np.ones((b, len(start)))
+    behind = behind / (ahead[:, -1] * behind).sum(axis=1, keepdims=True)
     for i in range(t - 1, -1, -1):
         state[:, i] = ahead[:, i] * behind
-        if i:
-            inner = np.where(real[:, i, None], seen[:, i] * behind / scale[:, i, None], 0.0)
-            moves += ahead[:, i - 1].T @ inner * move
-            behind = np.where(real[:, i, None], inner @ move.T, behind)
-    state *= real[..., None]
+        inner = np.where(real[:, i, None], seen[:, i] * behind / scale[:, i, None], 0.0)
+        moves += (ahead[:, i - 1] if i else before).T @ (inner * times[:, None]) * move
+        behind = np.where(real[:, i, None], inner @ move.T, behind)
     state /= np.maximum(state.sum(axis=2, keepdims=True), 1e-300)
-    np.add.at(weight, at[real], state[real])
-    begins += state[:, 0].sum(axis=0)
+    state *= (real * times[:, None])[..., None]
+    for s in range(len(start)):
+        weight[:, s] += np.bincount(at.ravel(), state[..., s].ravel(), len(weight))
+    begins += state[opens, 0].sum(axis=0)
 
 
 # ---------------------------------------------------------------- distributed
 
 
-def fit(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> PageModel:
-    """The model fitted on about ``FIT_PAGES`` documents; their texts stay where they are, features come as small numbers."""
+def _read(documents: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(id, the coded units, the words of each unit) of every document; nulls for blank texts."""
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                if text and not text.isspace():
-                    found, hot = read_units(text)
-                    codes = [observe(u, hot) for u in found]
-                    rows += [[c for seen in codes[i : i + FIT_UNITS] for c in seen] for i in range(0, min(len(codes), 20 * FIT_UNITS), FIT_UNITS)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int8()))], ["x"])
+            codes, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                if not text or text.isspace():
+                    codes.append(None)
+                    sizes.append(None)
+                    continue
+                found, hot = read_units(text)
+                codes.append(_code([observe(u, hot) for u in found]))
+                sizes.append(np.array([u.n_words for u in found], dtype="<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(sizes, pa.binary())], ["id", "codes", "sizes"])
+
+    id_type = documents.schema[id_col].dataType.simpleString()
+    return spread(documents.select(id_col, text_col)).mapInArrow(read, f"id {id_type}, codes binary, sizes binary")
+
 
-    width = len(EMISSION)
-    rows = spread(hash_sample(documents.select(id_col, text_col), id_col, FIT_PAGES).select(text_col)).mapInArrow(sequences, "x array<tinyint>").collect()
-    return baum_welch(sorted([tuple(r["x"][i : i + width]) for i in range(0, len(r["x"]), width)] for r in rows))
+def _fit(pages: DataFrame) -> PageModel:
+    """The model fitted on all units of all documents; of each task only one row of sums comes to the driver."""
+    coded = pages.select("codes").where("length(codes) > 0")
+
+    def expected(start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]) -> np.ndarray:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, waiting, size = 0.0, Counter(), 0
+            for batch in batches:
+                for codes in batch.column(0).to_pylist():
+                    if codes not in waiting:
+                        size += len(codes)
+                    waiting[codes] += 1
+                    if size > FIT_BYTES:
+                        total, waiting, size = total + _expected(waiting, start, move, emit), Counter(), 0
+            if waiting:
+                total = total + _expected(waiting, start, move, emit)
+            if not isinstance(total, float):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["x"])
+
+        return np.array([r["x"] for r in coded.mapInArrow(sums, "x array<double>").collect()] or [[0.0] * (len(start) + move.size + sum(e.size for e in emit))]).sum(axis=0)
+
+    return _climb(expected, FIT_ROUNDS, PRIOR)
+
+
+def fit(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> PageModel:
+    """The model fitted on all documents."""
+    return _fit(cut(_read(documents, text_col, id_col), "pages"))
 
 
 def page_labels(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: PageModel | None = None) -> DataFrame:
     """(id, prose_share, link_share, tag_share, menu_share, is_spam) of every document."""
     id_type = documents.schema[id_col].dataType.simpleString()
-    shipped = documents.sparkSession.sparkContext.broadcast(model or fit(documents, text_col, id_col))
+    pages = _read(documents, text_col, id_col)
+    if model is None:
+        pages = cut(pages, "pages")
+        model = _fit(pages)
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted: PageModel = shipped.value
         for batch in batches:
-            shares = [fitted.shares(t) for t in batch.column(1).to_pylist()]
+            paths: dict[bytes, list[int]] = {}
+            shares = []
+            for codes, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if codes is not None and codes not in paths:
+                    paths[codes] = fitted.path([KINDS[i] for i in np.frombuffer(codes, dtype="<u2").tolist()])
+                shares.append(_by_state(paths.get(codes, []), np.frombuffer(words or b"", dtype="<u4").tolist()))
             columns = [pa.array([round(s[i], 4) for s in shares], pa.float64()) for i in range(len(STATES))]
             spam = pa.array([1 - s[0] > MIN_SHARE for s in shares], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, spam], [id_col, "prose_share", "link_share", "tag_share", "menu_share", "is_spam"])
 
-    return spread(documents.select(id_col, text_col)).mapInArrow(
-        label, f"`{id_col}` {id_type}, prose_share double, link_share double, tag_share double, menu_share double, is_spam boolean"
-    )
+    return pages.mapInArrow(label, f"`{id_col}` {id_type}, prose_share double, link_share double, tag_share double, menu_share double, is_spam boolean")
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
